@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .linededup import LineDedup
 from .neardup import near_duplicates
 from .tokens import token_counts
+from .urlrules import judge
+from .warc import archived
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -40,6 +42,30 @@ def op6_overlap_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op7_association_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "mined_rule")
+
+
+def op9_legacy_archive_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+
+
+# DuckDB has hex digits of SHA-1; base32 is taken from them, eight letters for each ten digits.
+OP9_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS last FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(1 + ((CAST('0x' || substr(h, CAST(1 + 10 * (i // 8) AS INT), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS INT)) & 31) AS INT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to FROM m
+"""
+
+
 def op10_cuckoo_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return LineDedup(spark).build(docs).apply(docs).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
@@ -60,6 +86,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op6_overlap_token_counts": op6_overlap_token_counts,
+        "op7_association_url_filter": op7_association_url_filter,
+        "op9_legacy_archive_converter": op9_legacy_archive_converter,
         "op10_cuckoo_line_dedup": op10_cuckoo_line_dedup,
     }
 
@@ -67,5 +95,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_minhash_near_dedup": OP1_SQL,
+        "op9_legacy_archive_converter": OP9_SQL,
         "op10_cuckoo_line_dedup": OP10_SQL,
     }
