@@ -1,7 +1,7 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
 
-Texts are sequences of lower-cased words. A document leaks an item of n words when a window of about n words is within
-an edit distance of ``rate`` * n words of it. Windows start at every word of a document.
+Texts are sequences of lower-cased words. A document leaks an item of n words when a window is within an edit
+distance of ``rate`` * n words of it. Windows start at every word of a document.
 
 Two steps find candidates. The first is lossless: an edit changes at most two pairs of neighbouring words, so a window
 can only be within d edits of an item if at least n - 1 - 2d of its n - 1 pairs occur in the benchmark; a running sum
@@ -15,8 +15,8 @@ verified by the exact edit distance.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,36 +27,49 @@ from .common import mix64, slices, small_batches
 from .words import words_of
 
 GAP = np.uint64(0x5851F42D4C957F2D)
-NONWORD = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+WORDS_ONLY = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
 
 def plain(raw: bytes) -> bytes:
     """ASCII punctuation as white space: it separates words but does not count."""
-    return NONWORD.sub(b" ", raw)
-
-
-def edit_distance(a: list[int], b: list[int], most: int) -> int:
-    """Levenshtein distance of two sequences, or ``most`` + 1 if it is larger; only the band that can matter is filled."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    row = [j if j <= most else most + 1 for j in range(len(b) + 1)]
-    for i, x in enumerate(a, 1):
-        lo, hi = max(1, i - most), min(len(b), i + most)
-        corner, row[lo - 1] = row[lo - 1], i if lo == 1 and i <= most else most + 1
-        if hi == i + most:
-            row[hi] = most + 1
-        for j in range(lo, hi + 1):
-            corner, row[j] = row[j], min(corner + (x != b[j - 1]), row[j] + 1, row[j - 1] + 1)
-        if min(row[lo - 1 : hi + 1]) > most:
-            return most + 1
-    return min(row[len(b)], most + 1)
+    return raw.translate(WORDS_ONLY)
+
+
+def best_window(item: list[int], text: list[int], most: int) -> tuple[int, int] | None:
+    """(distance, start) of the part of ``text`` with the least edit distance to ``item``; None over ``most``. Equal distances: the first end."""
+    costs, starts = [0] * (len(text) + 1), list(range(len(text) + 1))
+    for i, x in enumerate(item, 1):
+        corner, corner_start = costs[0], starts[0]
+        costs[0] = i
+        for j, y in enumerate(text, 1):
+            keep, keep_start = costs[j], starts[j]
+            c, at = corner + (x != y), corner_start
+            if keep + 1 < c:
+                c, at = keep + 1, keep_start
+            if costs[j - 1] + 1 < c:
+                c, at = costs[j - 1] + 1, starts[j - 1]
+            costs[j], starts[j] = c, at
+            corner, corner_start = keep, keep_start
+    least = min(costs)
+    return (least, starts[costs.index(least)]) if least <= most else None
+
+
+@lru_cache(maxsize=256)
+def walk(n: int, repetitions: int, samples: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each step and repetition the salt of the walk's bit, and whether the step is sampled."""
+    rng, steps = np.random.default_rng(n), 2 * n
+    salts = rng.integers(0, 1 << 63, (steps, repetitions), dtype=np.uint64)
+    taken = np.zeros((steps, repetitions), bool)
+    for r in range(repetitions):
+        taken[rng.choice(steps, min(samples, steps), replace=False), r] = True
+    return salts, taken
 
 
 class BenchmarkIndex:
     """Items as word hashes, their word pairs, and the keys of their sampled embeddings."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = 0.2, repetitions: int = 24, samples: int = 4):
-        raw = [plain((t or "").encode("utf-8", "replace")) for _, t in items]
+    def __init__(self, items: list[tuple[int, str]], rate: float = 0.2, repetitions: int = 32, samples: int = 3):
+        raw = [plain((t or "").lower().encode("utf-8", "replace")) for _, t in items]
         words, counts = words_of(raw) if raw else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         cuts = np.split(words, np.cumsum(counts)[:-1]) if len(raw) else []
         both = [(i, w) for (i, _), w in zip(items, cuts, strict=True) if len(w) >= 3 and i is not None]
@@ -64,13 +77,21 @@ class BenchmarkIndex:
         self.rate, self.repetitions, self.samples = rate, repetitions, samples
         self.lengths = sorted({len(w) for w in self.words})
         self.pairs = np.unique(np.concatenate([self.pair(w) for w in self.words])) if both else np.zeros(0, np.uint64)
-        self.known = np.unique(np.concatenate(self.words)) if both else np.zeros(0, np.uint64)
+        # How often one item holds one pair, at most: longer runs of a pair in a document cannot stem from an item.
+        self.runs = max((int(np.unique(self.pair(w), return_counts=True)[1].max()) for w in self.words), default=1)
+        self.weights = mix64(np.arange(1, max(self.lengths, default=0) + 1, dtype=np.uint64)) | np.uint64(1)
         self.table: list[dict[int, list[int]]] = [{} for _ in range(repetitions)]
         self.by_length: dict[int, list[int]] = {}
         for n, w in enumerate(self.words):
             self.by_length.setdefault(len(w), []).append(n)
-        for n, own in self.by_length.items():
-            keys = self.keys(np.stack([self.words[k] for k in own]), n)
+        # Lengths in classes: the walk over a window reads as many words as the shortest item of its class has.
+        self.classes: dict[int, list[int]] = {}
+        for n in self.lengths:
+            least = max((c for c in self.classes if n <= 1.2 * c), default=n)
+            self.classes.setdefault(least, []).append(n)
+        for least, lengths in self.classes.items():
+            own = [k for n in lengths for k in self.by_length[n]]
+            keys = self.keys(np.stack([self.words[k][:least] for k in own]), least)
             for r in range(repetitions):
                 for k, key in zip(own, keys[:, r].tolist(), strict=True):
                     self.table[r].setdefault(key, []).append(k)
@@ -87,22 +108,18 @@ class BenchmarkIndex:
 
         The walk takes 2n steps, as many as it needs on average to read the window; what lies behind the end is zero.
         """
-        rows, steps = len(windows), 2 * n
+        rows = len(windows)
+        salts, taken = walk(n, self.repetitions, self.samples)
         padded = np.concatenate([windows, np.zeros((rows, 1), np.uint64)], 1)
-        out = np.empty((rows, self.repetitions), np.uint64)
-        every = np.arange(rows)
-        for r in range(self.repetitions):
-            rng = np.random.default_rng([r, n])
-            salts = rng.integers(0, 1 << 63, steps, dtype=np.uint64)
-            taken = set(rng.choice(steps, min(self.samples, steps), replace=False).tolist())
-            at, key = np.zeros(rows, np.int64), np.full(rows, n, np.uint64)
-            for j in range(max(taken) + 1):
-                word = padded[every, at]
-                if j in taken:
-                    key = mix64(key * GAP + word + np.uint64(j))
-                at = np.minimum(at + ((mix64(word ^ salts[j]) & np.uint64(1)) == 1), n)
-            out[:, r] = key
-        return out
+        every = np.arange(rows)[:, None]
+        at, key = np.zeros((rows, self.repetitions), np.int64), np.full((rows, self.repetitions), n, np.uint64)
+        for j in range(int(np.flatnonzero(taken.any(1))[-1]) + 1):
+            word = padded[every, at]
+            use = np.flatnonzero(taken[j])
+            if len(use):
+                key[:, use] = mix64(key[:, use] * GAP + word[:, use] + np.uint64(j))
+            at = np.minimum(at + (((word ^ salts[j]) * GAP >> np.uint64(63)) == 1), n)
+        return key
 
     def starts(self, words: np.ndarray) -> dict[int, np.ndarray]:
         """For each item length the starts whose windows hold enough pairs of the benchmark."""
@@ -111,42 +128,72 @@ class BenchmarkIndex:
         pairs = self.pair(words)
         at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
         found = self.pairs[at] == pairs
-        if not found.any():
+        if len(pairs) > self.runs:
+            same = np.concatenate([np.zeros(self.runs, bool), np.ones(len(pairs) - self.runs, bool)])
+            for k in range(1, self.runs + 1):
+                same[self.runs :] &= pairs[self.runs :] == pairs[self.runs - k : len(pairs) - k]
+            found &= ~same
+        if found.sum() < min(max(1, n - 1 - 2 * self.most(n)) for n in self.lengths):
             return {}
-        total = np.concatenate([[0], np.cumsum(found)])
+        total = np.concatenate([[0], np.cumsum(found, dtype=np.int32), np.full(self.lengths[-1], found.sum(), np.int32)]).astype(np.int32)
         out = {}
-        for n in self.lengths:
-            need = max(1, n - 1 - 2 * self.most(n))
-            stop = np.minimum(np.arange(len(words)) + n - 1, len(pairs))
-            has = total[stop] - total[np.minimum(np.arange(len(words)), len(pairs))]
-            good = np.flatnonzero(has >= need)
-            if len(good):
-                out[n] = good
+        near = self.enough(total, np.arange(len(words)), self.lengths)
+        for lengths in self.classes.values() if len(near) else ():
+            own = self.enough(total, near, lengths)
+            for n in lengths if len(own) else ():
+                good = self.enough(total, own, [n])
+                if len(good):
+                    out[n] = good
         return out
 
+    def enough(self, total: np.ndarray, starts: np.ndarray, lengths: list[int]) -> np.ndarray:
+        """The starts that can hold an item of one of the lengths; exact for one length, no start too few for several."""
+        need = min(max(1, n - 1 - 2 * self.most(n)) for n in lengths)
+        return starts[total[starts + lengths[-1] - 1] - total[starts] >= need]
+
     def matches(self, words: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, first word, distance) for each item that the document leaks, at its best window."""
         best: dict[int, tuple[int, int]] = {}
-        for n, starts in self.starts(words).items():
-            own = set(self.by_length[n])
-            most = self.most(n)
-            padded = np.concatenate([words, np.zeros(n, np.uint64)])
-            for block in np.array_split(starts, len(starts) // 4096 + 1):
-                windows = padded[block[:, None] + np.arange(n)]
-                keys = self.keys(windows, n)
-                pairs = {(k, row) for r in range(self.repetitions) for row, key in enumerate(keys[:, r].tolist()) for k in self.table[r].get(key, ()) if k in own}
-                for k, row in sorted(pairs):
-                    if best.get(k, (most + 1, 0))[0] == 0:
-                        continue
-                    start, item = int(block[row]), self.words[k].tolist()
-                    for stop in sorted(range(n - most, n + most + 1), key=lambda m: (abs(m - n), m)):
-                        if start + stop <= len(words):
-                            d = edit_distance(words[start : start + stop].tolist(), item, best.get(k, (most + 1, 0))[0] - 1)
-                            if d < best.get(k, (most + 1, 0))[0]:
-                                best[k] = d, start
+        viable = self.starts(words)
+        for least, lengths in self.classes.items():
+            found = [viable[n] for n in lengths if n in viable]
+            if not found:
+                continue
+            starts = np.unique(np.concatenate(found))
+            padded = np.concatenate([words, np.zeros(least, np.uint64)])
+            for block in np.array_split(starts, len(starts) // 2048 + 1):
+                windows = padded[block[:, None] + np.arange(least)]
+                # Equal windows (repeated words or phrases) are looked at once, at their first start.
+                first = np.unique(mix64(windows * self.weights[:least]).sum(1), return_index=True)[1]
+                block, windows = block[first], windows[first]
+                keys = self.keys(windows, least)
+                pairs = {(k, row) for r in range(self.repetitions) for row, key in enumerate(keys[:, r].tolist()) if key in self.table[r] for k in self.table[r][key]}
+                by_item: dict[int, list[int]] = {}
+                for k, row in pairs:
+                    by_item.setdefault(k, []).append(int(block[row]))
+                for k, at in by_item.items():
+                    self.verify(k, sorted(at), words, best)
         return sorted((self.ids[k], start, d) for k, (d, start) in best.items())
 
 
+    def verify(self, k: int, at: list[int], words: np.ndarray, best: dict[int, tuple[int, int]]) -> None:
+        """Exact search for item k around the candidate starts ``at``; neighbouring starts share one stretch of words."""
+        item, n = self.words[k], len(self.words[k])
+        most = self.most(n)
+        for s in at:
+            if s + n <= len(words) and (words[s : s + n] == item).all():
+                if best.get(k, (1, 0))[0] or s < best[k][1]:
+                    best[k] = 0, s
+                return
+        while at and best.get(k, (1, 0))[0]:
+            near = [s for s in at if s <= at[0] + n]
+            at = at[len(near) :]
+            lo = max(0, near[0] - most)
+            got = best_window(item.tolist(), words[lo : near[-1] + n + most].tolist(), best.get(k, (most + 1, 0))[0] - 1)
+            if got:
+                best[k] = got[0], lo + got[1]
+
+
 def _blocks(benchmark: DataFrame, limit: int) -> list[list[tuple[int, str]]]:
     """The items in blocks of at most ``limit`` bytes; each is held by every executor for one pass over the documents."""
     out: list[list[tuple[int, str]]] = []
@@ -162,7 +209,7 @@ def _blocks(benchmark: DataFrame, limit: int) -> list[list[tuple[int, str]]]:
     return out
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, repetitions: int = 24, samples: int = 4, block_bytes: int = 16 << 20) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, repetitions: int = 32, samples: int = 3, block_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, item_id, first_word, n_words, edit_distance: one row for each document and item that it leaks.
 
     Items under three words, null items and null texts match nothing; documents are read whole, and rows that repeat a
@@ -182,7 +229,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, repetitions:
             length = dict(zip(index.ids, map(len, index.words), strict=True))
             for b in small_batches(batches):
                 ids, rows = b.column("doc_id").to_pylist(), []
-                for at, raw in slices(b.column("text").to_pylist()):
+                for at, raw in slices([(t or "").lower() for t in b.column("text").to_pylist()]):
                     words, counts = words_of([plain(t) for t in raw])
                     start = 0
                     for i, c in enumerate(counts.tolist(), at):

@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import quality, toxicity
+from .chroma import fingerprints, render, search
+from .decontam import leaks
 from .linededup import LineDedup
+from .mixing import mix
 from .neardup import near_duplicates
 from .tokens import token_counts
 from .urlrules import judge
@@ -35,6 +39,33 @@ SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, c.component_id, s.doc_id
 """
 
 
+def op2_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.quality_scores(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+def op3_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
+    return mix(docs)
+
+
+def op4_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return search(fingerprints(render(vectors)))
+
+
+def op5_grammar_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.toxicity_scores(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+def op8_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_overlap_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -83,13 +114,8 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INT)) AS BIGINT) AS n_
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op1_minhash_near_dedup": op1_minhash_near_dedup,
-        "op6_overlap_token_counts": op6_overlap_token_counts,
-        "op7_association_url_filter": op7_association_url_filter,
-        "op9_legacy_archive_converter": op9_legacy_archive_converter,
-        "op10_cuckoo_line_dedup": op10_cuckoo_line_dedup,
-    }
+    own = (op1_minhash_near_dedup, op2_nbsvm_quality, op3_pfair_mixing, op4_chroma_fingerprints, op5_grammar_toxicity, op6_overlap_token_counts, op7_association_url_filter, op8_cgk_decontamination, op9_legacy_archive_converter, op10_cuckoo_line_dedup)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
