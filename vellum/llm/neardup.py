@@ -9,8 +9,9 @@ about 1e-5. Candidates are confirmed on the full shingle sets.
 A finer signature of 512 single bits, of which pairs at 0.75 differ in 64 on average and in more than 95 with a
 probability of about 1e-5, thins the candidates inside the joins. Work is kept near linear in the size of groups:
 documents with equal sets are one class; each key first links its members to one pivot only (keys use eight orders, so
-that a group has about eight pivots); once those links are confirmed and components are known, only pairs of different
-components that share a key are compared, under both distances and a size ratio inside the join.
+that a group has about eight pivots), and what is under both distances makes families. Inside a family all pairs are
+confirmed on the full sets by an inverted index, each text moved once; pairs of different families that share a key are
+compared under both distances and a size ratio inside a join, and confirmed one by one. So every pair is considered.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from .common import Scratch, mix64, slices, small_batches
 from .words import shingle_sets
 
 POSITIONS, CHUNK, MOST = 64, 4, 31
-PIVOTS = 8
+PIVOTS, BLOCK = 8, 1_000_000
 LANES = POSITIONS // 4
 SIG = [f"s{i}" for i in range(LANES)]
 FINE, MOST_FINE = 512, 95
@@ -125,7 +126,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         scratch.drop(now)
         now = after
         if state == seen:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         seen = state
 
 
@@ -155,19 +156,20 @@ def near_duplicates(docs: DataFrame, need: int = 75, whole: int = 100) -> DataFr
     pivots = entries.groupBy("key").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.min_by("class_id", order).alias("pivot")).where("low <> high").select("key", "pivot")
     met = scratch.keep(entries.join(pivots, "key"), "met")
     star = met.where("class_id <> pivot").select(F.least("pivot", "class_id").alias("a"), F.greatest("pivot", "class_id").alias("b")).distinct()
-    first = _linked(scratch, narrow, slim, star, need, whole)
-    roots = components(first.unionByName(shared_ids), scratch)
+    x, y = slim.alias("x"), slim.alias("y")
+    near = star.join(y, F.col("b") == F.col("y.class_id")).join(x, F.col("a") == F.col("x.class_id")).where(_sizes("x", "y", need, whole) & close("x", "y")).select("a", "b")
+    families = scratch.keep(components(near, scratch), "families")
+    inside = scratch.keep(_within(narrow, slim, families, need, whole), "inside")
 
-    # What is left: members of one key in different components.
-    left = met.join(roots, met.class_id == roots.node, "left").select("key", "class_id", F.coalesce("root", "class_id").alias("root"))
+    # What is left: pairs that share a key and stand in different families.
+    left = met.join(families, met.class_id == families.node, "left").select("key", "class_id", F.coalesce("root", "class_id").alias("root"))
     mixed = left.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("two")).where("one <> two").select("key")
-    left = scratch.keep(left.join(mixed, "key").join(slim, "class_id"), "left")
+    left = left.join(mixed, "key").join(slim, "class_id")
     x, y = left.alias("x"), left.alias("y")
     meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.class_id") < F.col("y.class_id")) & _sizes("x", "y", need, whole) & close("x", "y")
     rest = x.join(y, meet).select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b")).distinct()
-    rest = rest.join(first, ["a", "b"], "left_anti")
-    second = _verified(scratch, narrow, rest, need, whole)
-    roots = components(first.unionByName(second).unionByName(shared_ids), scratch)
+    between = _verified(scratch, narrow, rest, need, whole)
+    roots = components(inside.unionByName(between).unionByName(shared_ids), scratch)
 
     out = signed.select("doc_id", "n_shingles", "h1", "h2").join(classes.select("n_shingles", "h1", "h2", "class_id"), ["n_shingles", "h1", "h2"], "left")
     out = out.join(roots, out.class_id == roots.node, "left")
@@ -181,16 +183,63 @@ def _sizes(a: str, b: str, need: int, whole: int) -> Column:
     return small * whole >= large * need
 
 
-def _linked(scratch: Scratch, docs: DataFrame, slim: DataFrame, pairs: DataFrame, need: int, whole: int) -> DataFrame:
-    """The pairs (a, b) of classes that are under the distance and confirmed."""
-    x, y = slim.alias("x"), slim.alias("y")
-    near = pairs.join(y, F.col("b") == F.col("y.class_id")).join(x, F.col("a") == F.col("x.class_id")).where(_sizes("x", "y", need, whole) & close("x", "y"))
-    return _verified(scratch, docs, near.select("a", "b").distinct(), need, whole)
+def _links(need: int, whole: int):
+    """Confirmed links among the texts of one block, or between two: overlaps are counted by an inverted index of their shingles."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, sides = table.column("class_id").to_numpy(), table.column("side").to_numpy()
+        sets = [s for _, raw in slices(table.column("text").to_pylist()) for s in shingle_sets(raw)]
+        sizes = np.array([len(s) for s in sets])
+        owners = np.repeat(np.arange(len(sets)), sizes)
+        every = np.concatenate(sets)
+        order = np.argsort(every, kind="stable")
+        every, owners = every[order], owners[order]
+        group = list(range(len(sets)))
+
+        def find(i: int) -> int:
+            while group[i] != i:
+                group[i] = group[group[i]]
+                i = group[i]
+            return i
+
+        a, b = [], []
+        two = sides.min() != sides.max()
+        for i, s in enumerate(sets):
+            if two and sides[i]:
+                continue
+            lo, hi = np.searchsorted(every, s), np.searchsorted(every, s, "right")
+            n = hi - lo
+            both = np.bincount(owners[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sets))
+            linked = (whole * both >= need * (len(s) + sizes - both)) & (both > 0)
+            for j in np.flatnonzero(linked).tolist():
+                if find(i) != find(j) and not (two and not sides[j]):
+                    group[find(i)] = find(j)
+                    a.append(min(ids[i], ids[j]))
+                    b.append(max(ids[i], ids[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _within(docs: DataFrame, slim: DataFrame, families: DataFrame, need: int, whole: int) -> DataFrame:
+    """Confirmed links (a, b) that connect what is similar inside each family, all pairs considered.
+
+    Every text goes to its family's task once. A family with more shingles than BLOCK is cut into blocks by a hash, and
+    each pair of blocks is a task of its own, so a task's memory is bounded by two blocks.
+    """
+    sized = slim.select("class_id", "n_shingles").join(families, F.col("class_id") == F.col("node")).select("class_id", "root", "n_shingles")
+    blocks = sized.groupBy("root").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks"))
+    placed = sized.select("class_id", "root").join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("class_id"), "blocks").cast("int"))
+    # Block i meets every block j >= i; its own members are side 0 where it comes first.
+    placed = placed.select("class_id", "root", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    placed = placed.select("class_id", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    rows = placed.join(docs.select(F.col("doc_id").alias("class_id"), "text"), "class_id")
+    return rows.groupBy("root", "i", "j").applyInArrow(_links(need, whole), "a long, b long")
 
 
 def _verified(scratch: Scratch, docs: DataFrame, pairs: DataFrame, need: int, whole: int) -> DataFrame:
     """The pairs whose full sets are similar enough; only texts that stand in a pair are moved."""
-    pairs = scratch.keep(pairs, "candidates")
+    pairs = scratch.keep(pairs, "between")
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     texts = docs.join(ids, "doc_id", "left_semi")
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text"))
