@@ -29,11 +29,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small, so that long texts don't fill the memory of workers and of the buffers between them."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 class Scratch:
     """Tables written once to the shared folder: they cut lineage and survive the loss of executors."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        bounded_batches(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.made = 0
 
@@ -103,6 +112,7 @@ def replaced(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
 
 def with_fields(df: DataFrame, fields: str) -> str:
     """The DDL of ``replaced`` for mapInArrow."""
+    bounded_batches(df.sparkSession)
     names = {f.split()[0] for f in fields.split(",")}
     own = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in names]
     return ", ".join(own + [fields])

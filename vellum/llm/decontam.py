@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, small_batches
+from .common import bounded_batches, mix64, slices, small_batches
 from .words import words_of
 
 GAP = np.uint64(0x5851F42D4C957F2D)
@@ -218,6 +218,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, repetitions:
     one costs more passes over the documents and no more memory.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, first_word long, n_words long, edit_distance long"
     parts = []
