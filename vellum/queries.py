@@ -213,7 +213,7 @@ def page_label_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with the last event of the customer's number at or before the order: a backward as-of join."""
     events = _read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("o_custkey"), "ts").agg(F.max("event_id").alias("event_id"))
     orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderdate") + F.expr("INTERVAL 27 YEARS")).alias("order_ts"))
-    return relational.as_of(orders, events, ["o_custkey"], "order_ts", "ts", ["event_id"])
+    return relational.as_of(orders, events, ["o_custkey"], "order_ts", "ts", ["event_id"]).withColumn("event_id", F.coalesce("event_id", F.lit(-1)))
 
 
 def xref_newest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -353,7 +353,7 @@ def oracle_sql() -> dict[str, str]:
         "pdf_date_events": f"SELECT event_id, 'D:' || strftime(date_trunc('second', ts) + to_minutes(CAST({MINUTES} AS INT)), '%Y%m%d%H%M%S') || CASE WHEN {MINUTES} < 0 THEN '-' ELSE '+' END || printf('%02d', CAST(abs({MINUTES}) // 60 AS INT)) || '''' || printf('%02d', CAST(abs({MINUTES}) % 60 AS INT)) AS d, CAST(date_trunc('second', ts) AS TIMESTAMP) AS utc FROM events",
         "date_partial_default": "SELECT o_orderkey, CAST(CASE o_orderkey % 6 WHEN 0 THEN date_trunc('year', o_orderdate) WHEN 1 THEN date_trunc('month', o_orderdate) WHEN 2 THEN date_trunc('day', o_orderdate) WHEN 3 THEN date_trunc('hour', o_orderdate) WHEN 4 THEN date_trunc('minute', o_orderdate) ELSE date_trunc('second', o_orderdate) END AS TIMESTAMP) AS local, CAST(0 AS INT) AS minutes FROM orders",
         "page_label_numerals": f"SELECT o_orderkey, 'p-' || CASE o_custkey % 5 WHEN 0 THEN CAST({N} AS VARCHAR) WHEN 1 THEN upper({_roman_sql(N)}) WHEN 2 THEN {_roman_sql(N)} WHEN 3 THEN upper({ALPHA}) ELSE {ALPHA} END AS label FROM orders",
-        "page_label_asof": "WITH e AS (SELECT user_id, ts, max(event_id) AS event_id FROM events GROUP BY ALL), o AS (SELECT o_orderkey, o_custkey, o_orderdate + INTERVAL 27 YEAR AS order_ts FROM orders) SELECT o_orderkey, o_custkey, order_ts, e.ts, e.event_id FROM o ASOF LEFT JOIN e ON o.o_custkey = e.user_id AND o.order_ts >= e.ts",
+        "page_label_asof": "WITH e AS (SELECT user_id, ts, max(event_id) AS event_id FROM events GROUP BY ALL), o AS (SELECT o_orderkey, o_custkey, o_orderdate + INTERVAL 27 YEAR AS order_ts FROM orders) SELECT o_orderkey, o_custkey, order_ts, e.ts, coalesce(e.event_id, -1) AS event_id FROM o ASOF LEFT JOIN e ON o.o_custkey = e.user_id AND o.order_ts >= e.ts",
         "xref_newest_wins": "SELECT user_id, event_type, -max(event_id) AS rev, arg_max(value, event_id) AS value FROM events GROUP BY user_id, event_type",
         "resolve_refs": "SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey",
         "inherit_attr": "SELECT c_custkey, coalesce(CASE WHEN c_acctbal > 5000 THEN c_name END, CASE WHEN n_nationkey % 2 = 0 THEN n_name END, r_name) AS value FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey",
