@@ -16,9 +16,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..functions.filters import UnsupportedFilter
-from ..functions.scalars import date_columns, text_string
+from ..functions.scalars import date_columns, text_string, utc_date
 from ..operators.content import Evaluator, operators, paint
 from ..operators.fonts import ALL_CAP, BOLD, FIXED, ITALIC, SMALL_CAP, Font
+from ..sources.certificates import check_cms, check_pkcs1, pem_certificates
 from ..sources.document import Document
 from ..sources.syntax import Ref, Stream, show
 
@@ -206,9 +207,40 @@ def attachments(files: DataFrame, passwords: list[str] = ()) -> DataFrame:
     return _table(files, "page_no int, name string, content binary", lambda d: ({"page_no": p, "name": n, "content": c} for p, n, c in d.attachments()), list(passwords))
 
 
-def signatures(files: DataFrame, passwords: list[str] = ()) -> DataFrame:
-    """Signature fields with the digests of their byte ranges. The CMS structure and certificates are not validated."""
-    return _table(files, "fqt string, page_no int, name string, signed_at string, subfilter string, byte_range array<long>, covers_file boolean, sha1 string, sha256 string, contents binary", lambda d: iter(d.signatures()), list(passwords))
+FORMATS = ("adbe.pkcs7.detached", "adbe.pkcs7.sha1", "ETSI.CAdES.detached", "adbe.x509.rsa_sha1")
+
+
+def signatures(files: DataFrame, passwords: list[str] = (), trust_pem: str = "") -> DataFrame:
+    """Signature fields: digests of their byte ranges, and whether they hold against the anchors of ``trust_pem``.
+
+    ``passed`` needs an unchanged document, a fitting RSA signature and a chain to an anchor at the signing time (the
+    attribute, else /M); otherwise ``error_message`` says why. ``certs`` are those of the signature.
+    """
+
+    def rows(d: Document):
+        anchors = pem_certificates(trust_pem)
+        for s in d.signatures():
+            at, raw, cert = utc_date(s["signed_at"]), s.pop("signed"), s.pop("cert")
+            got, why = {"certs": [], "verified_at": None}, None
+            try:
+                if s["subfilter"] == "adbe.x509.rsa_sha1":
+                    got = check_pkcs1([cert] if isinstance(cert, bytes) else [d.get(c) for c in cert or []], s["contents"], raw, at, anchors)
+                elif s["subfilter"] in FORMATS:
+                    got = check_cms(s["contents"], raw, at, anchors, s["subfilter"] == "adbe.pkcs7.sha1")
+                else:
+                    why = f"signature format {s['subfilter']} is not supported"
+            except (ValueError, IndexError, StopIteration, TypeError) as e:
+                why = str(e) or type(e).__name__
+            yield s | got | {"passed": why is None, "error_message": why}
+
+    cert = "array<struct<subject:string,issuer:string,cn:string,not_before:timestamp_ntz,not_after:timestamp_ntz,text:string>>"
+    return _table(files, f"fqt string, page_no int, name string, signed_at string, subfilter string, byte_range array<long>, covers_file boolean, sha1 string, sha256 string, contents binary, passed boolean, error_message string, verified_at timestamp_ntz, certs {cert}", rows, list(passwords))
+
+
+def certificates(signed: DataFrame) -> DataFrame:
+    """The certificates of a ``signatures`` table, one row for each subject and issuer."""
+    every = signed.select(F.explode("certs").alias("c")).select("c.*")
+    return every.groupBy("subject", "issuer").agg(F.min(F.struct("not_before", "not_after", "text")).alias("m")).select("subject", "issuer", "m.*")
 
 
 def write_texts(texts: DataFrame, path: str) -> None:

@@ -374,7 +374,7 @@ class Document:
             if kind == "Sig" and isinstance(v, dict):
                 spans = self.get(v.get("ByteRange")) or []
                 data = b"".join(self.data[a : a + n] for a, n in zip(spans[::2], spans[1::2], strict=False))
-                out.append({"fqt": name, "page_no": numbers.get(page.num) if isinstance(page, Ref) else None, "name": text_string(self.get(v.get("Name")) or b""), "signed_at": text_string(self.get(v.get("M")) or b""), "subfilter": v.get("SubFilter"), "byte_range": spans, "covers_file": bool(spans) and spans[0] == 0 and spans[-2] + spans[-1] == len(self.data), "sha1": hashlib.sha1(data).hexdigest(), "sha256": hashlib.sha256(data).hexdigest(), "contents": self.get(v.get("Contents")) or b""})
+                out.append({"fqt": name, "page_no": numbers.get(page.num) if isinstance(page, Ref) else None, "name": text_string(self.get(v.get("Name")) or b""), "signed_at": text_string(self.get(v.get("M")) or b""), "subfilter": v.get("SubFilter"), "byte_range": spans, "covers_file": bool(spans) and spans[0] == 0 and spans[-2] + spans[-1] == len(self.data), "sha1": hashlib.sha1(data).hexdigest(), "sha256": hashlib.sha256(data).hexdigest(), "contents": self.get(v.get("Contents")) or b"", "signed": data, "cert": self.get(v.get("Cert"))})
             for k in self.get(f.get("Kids")) or []:
                 visit(k, name, page, kind, depth + 1)
 
