@@ -77,34 +77,54 @@ class Grammar:
         return max(found, default=0.0), math.log1p(sum(found)), math.log1p(len(hits))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
-    """Weights and an intercept (last) by Newton steps."""
-    x = np.column_stack([x, np.ones(len(x))])
-    w, keep = np.zeros(x.shape[1]), np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + keep, x.T @ (y - p) - keep @ w)
-        w = w + np.clip(step, -3, 3)
-        if np.abs(step).max() < 1e-6:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weights and an intercept (last) by Newton steps on scaled columns; a step is halved until it lowers the loss."""
+    scale = np.maximum(np.abs(x).max(0), 1e-9)
+    z = np.column_stack([x / scale, np.ones(len(x))])
+    w, keep = np.zeros(z.shape[1]), np.array([ridge] * (z.shape[1] - 1) + [1e-6])
+
+    def loss(w: np.ndarray) -> float:
+        m = z @ w
+        return float(np.logaddexp(0, np.where(y > 0, -m, m)).sum() + (keep * w * w).sum() / 2)
+
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag(keep), z.T @ (y - p) - keep * w)
+        size, now = 1.0, loss(w)
+        while size > 1e-6 and loss(w + size * step) > now:
+            size /= 2
+        w = w + size * step
+        if np.abs(size * step).max() < 1e-7:
             break
-    return w
+    return w / np.append(scale, 1.0)
 
 
 def learned(texts: list[str], labels: list[int], least: int = 6, bar: float = 3.2) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and stems in at least ``least`` documents whose log-odds of toxicity pass ``bar``."""
-    counts: list[Counter] = [Counter(), Counter()]
-    stems: list[Counter] = [Counter(), Counter()]
-    for t, y in zip(texts, labels, strict=True):
-        own = set(WORD.findall((t or "").lower()))
-        counts[y].update(own)
-        stems[y].update({w[:n] for w in own for n in STEMS if len(w) > n})
-    n = [labels.count(0) + 1, labels.count(1) + 1]
-
-    def strong(c: list[Counter]) -> dict[str, float]:
-        odds = {w: math.log((k + 0.5) / n[1]) - math.log((c[0][w] + 0.5) / n[0]) for w, k in c[1].items() if k + c[0][w] >= least}
-        return {w: min(x, 8.0) for w, x in odds.items() if x >= bar}
+    """Words and stems whose log-odds of toxicity pass ``bar``, with at least ``least`` different neighbourhoods in toxic texts.
 
-    return strong(counts), strong(stems)
+    Counting neighbourhoods (the words before and after) instead of documents keeps out the words of a text that is
+    merely copied often; equal texts count once anyway.
+    """
+    counts: list[Counter] = [Counter(), Counter()]
+    toxic: list[list[str]] = []
+    n = [1, 1]
+    for t, y in dict(zip(texts, labels, strict=True)).items():
+        found = WORD.findall((t or "").lower())
+        own = set(found)
+        counts[y].update(own | {(w[:k],) for w in own for k in STEMS if len(w) > k})
+        n[y] += 1
+        if y:
+            toxic.append(found)
+    odds = {w: math.log((k + 0.5) / n[1]) - math.log((counts[0][w] + 0.5) / n[0]) for w, k in counts[1].items() if k >= least}
+    odds = {w: min(x, 8.0) for w, x in odds.items() if x >= bar}
+    around: dict = {w: set() for w in odds}
+    for found in toxic:
+        for before, w, after in zip(["", *found], found, [*found[1:], ""], strict=False):
+            for key in (w, *((w[:k],) for k in STEMS if len(w) > k)):
+                if key in around:
+                    around[key].add((before, after) if isinstance(key, str) else (before, w, after))
+    kept = {w: x for w, x in odds.items() if len(around[w]) >= least}
+    return {w: x for w, x in kept.items() if isinstance(w, str)}, {w[0]: x for w, x in kept.items() if not isinstance(w, str)}
 
 
 class ToxicityModel:
