@@ -111,13 +111,21 @@ def fit_curve(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and shift of the logistic curve by Newton steps, with Platt's smoothed targets."""
     n1, n0 = float((y > 0).sum()), float((y <= 0).sum())
     target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+
+    def loss(a: float, b: float) -> float:
+        z = a * margins + b
+        return float((np.logaddexp(0, z) - target * z).sum()) + 5e-4 * a * a
+
     a, b = 1.0, 0.0
-    for _ in range(50):
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a * margins + b, -30, 30)))
         r, q = target - p, p * (1 - p) + 1e-9
         h = np.array([[(q * margins**2).sum() + 1e-3, (q * margins).sum()], [(q * margins).sum(), q.sum()]])
         da, db = np.linalg.solve(h, [(r * margins).sum() - 1e-3 * a, r.sum()])
-        a, b = a + np.clip(da, -5, 5), b + np.clip(db, -5, 5)
+        size, now = 1.0, loss(a, b)
+        while size > 1e-6 and loss(a + size * da, b + size * db) > now:
+            size /= 2
+        a, b = a + size * da, b + size * db
     return max(a, 1e-6), b
 
 
