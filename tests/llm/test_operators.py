@@ -332,3 +332,31 @@ def test_chroma(spark):
     assert chroma.align(a, b, 8)[1] < 0.05 and len(chroma.fingerprint(chroma.read_wav(b"no wave"))) == 0 and math.isclose(abs(x).max(), 1, abs_tol=0.01)
     noisy = rng.normal(0, 0.3, 40000)
     assert chroma.align(chroma.fingerprint(noisy), chroma.fingerprint(noisy[2560:]))[0] == -10
+
+
+def test_chroma_misses_no_pair(spark):
+    """Recall against every offset of every pair: copies up to the limit, short prints, and prints of one integer."""
+    rng = np.random.default_rng(5)
+    prints = {}
+    for i in range(0, 40, 2):
+        p = rng.integers(0, 1 << 32, int(rng.choice([8, 10, 25, 120])), dtype=np.uint32)
+        bits = np.zeros(32 * len(p), np.uint32)
+        bits[rng.choice(len(bits), int(0.1 * len(bits)), replace=False)] = 1
+        prints[i], prints[i + 1] = p, p ^ (bits.reshape(-1, 32) << np.arange(32, dtype=np.uint32)).sum(1, dtype=np.uint32)
+    prints |= {50: np.full(20, 7, np.uint32), 51: np.full(33, 7, np.uint32), 52: np.full(7, 7, np.uint32)}
+
+    def brute(a, b):
+        best = None
+        for off in range(1 - len(a), len(b)):
+            i, j = max(0, -off), max(0, off)
+            m = min(len(a) - i, len(b) - j)
+            n = int(np.bitwise_count(a[i : i + m] ^ b[j : j + m]).sum())
+            if m >= 8 and n <= 0.1 * 32 * m and (best is None or 32 * m - n > best[0]):
+                best = 32 * m - n, off, n / (32 * m)
+        return best and best[1:]
+
+    table = spark.createDataFrame([(i, len(p), bytearray(p.tobytes())) for i, p in prints.items()], "rec_id long, n_frames long, print binary")
+    got = {(r.rec_id, m.class_id): (m.offset, m.error) for r in chroma.search(table, every=1).collect() for m in r.matches}
+    want = {(i, j): x for i, a in prints.items() for j, b in prints.items() if i != j and (x := brute(a, b))}
+    assert got == want and {(i, i + 1) for i in range(0, 40, 2)} | {(50, 51)} <= set(want)
+    assert all(chroma.align(prints[i], prints[j]) == x for (i, j), x in want.items())

@@ -2,8 +2,8 @@
 
 A recording (WAV bytes, 16-bit PCM) becomes frames of twelve pitch-class energies. The integral image of these frames
 gives any rectangle's sum in four reads; sixteen fixed filters compare rectangles, each comparison is coded in two bits,
-and a frame's filters are packed into a 32-bit integer. Two recordings are aligned by the offset at which most of their
-integers meet, and compared by the share of differing bits there.
+and a frame's filters are packed into a 32-bit integer. Two recordings are aligned by offset histograms: each pair of frames
+votes for its offset with the bits in which its integers agree. This gives the share of differing bits at every offset.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import io
 import wave
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, small_batches
 
 RATE, FRAME, HOP, SPAN = 4000, 512, 256, 8
+PACK_BYTES, PIECE_FRAMES = 1 << 17, 1 << 13
 # Fixed filters: (kind, first pitch class, pitch classes, frames); the kinds halve the rectangle in pitch, in time, or in both.
 FILTERS = [("p", 0, 4, 8), ("p", 4, 4, 8), ("p", 8, 4, 8), ("p", 2, 8, 8), ("p", 0, 12, 4), ("p", 6, 6, 4), ("t", 0, 4, 8), ("t", 4, 4, 8), ("t", 8, 4, 8), ("t", 0, 12, 8), ("t", 2, 6, 4), ("t", 6, 6, 4), ("b", 0, 6, 8), ("b", 6, 6, 8), ("b", 0, 12, 8), ("b", 3, 6, 4)]
 
@@ -94,24 +96,88 @@ def fingerprint(samples: np.ndarray) -> np.ndarray:
     return out
 
 
-def align(a: np.ndarray, b: np.ndarray, least: int = 8) -> tuple[int, float] | None:
-    """(offset, share of differing bits) of b against a at the fullest bins of the offset histogram; None without an overlap of ``least`` frames."""
-    order = np.argsort(b >> np.uint32(8), kind="stable")
-    keys = (b >> np.uint32(8))[order]
-    lo, hi = np.searchsorted(keys, a >> np.uint32(8)), np.searchsorted(keys, a >> np.uint32(8), "right")
-    n = hi - lo
-    at = np.repeat(np.arange(len(a)), n)
-    back = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    offsets, counts = np.unique(order[np.repeat(lo, n) + back] - at, return_counts=True)
-    best = None
-    for off in offsets[np.argsort(-counts, kind="stable")[:3]].tolist():
-        i, j = max(0, -off), max(0, off)
-        m = min(len(a) - i, len(b) - j)
-        if m >= least:
-            rate = float(np.bitwise_count(a[i : i + m] ^ b[j : j + m]).sum()) / (32 * m)
-            if best is None or rate < best[1]:
-                best = int(off), rate
-    return best
+def spectra(prints: list[np.ndarray], size: int) -> np.ndarray:
+    """(frequencies, prints, 32): the transforms of the bits as 1 and -1, zero behind the end."""
+    out = np.zeros((len(prints), 32, size), np.float32 if size <= 1 << 13 else np.float64)
+    for x, p in zip(out, prints, strict=True):
+        x[:, : len(p)] = (p >> np.arange(32, dtype=np.uint32)[:, None] & np.uint32(1)) * 2.0 - 1
+    return np.ascontiguousarray(np.fft.rfft(out, axis=2).transpose(2, 0, 1))
+
+
+def room(a: list[np.ndarray], b: list[np.ndarray]) -> int:
+    """The length of transforms that holds all offsets of b against a."""
+    return 1 << (max(map(len, a)) + max(map(len, b)) - 1).bit_length()
+
+
+def histograms(a: list[np.ndarray], b: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets, the frames that overlap and the votes there (bits that agree less bits that differ, within 0.01), as (offsets, a, b).
+
+    ``x`` and ``y`` are the spectra: the votes of all pairs of frames are a correlation of the bits.
+    """
+    most_a, most_b = max(map(len, a)), max(map(len, b))
+    votes = np.fft.irfft(np.conj(x) @ y.transpose(0, 2, 1), room(a, b), axis=0)
+    offsets = np.arange(1 - most_a, most_b)
+    # Equal lengths are kept once: the overlaps then need no row for each print.
+    of_a, of_b = (np.array(n if len(set(n)) > 1 else n[:1]) for n in ([len(p) for p in a], [len(p) for p in b]))
+    d = offsets[:, None, None]
+    return offsets, np.minimum(of_a[:, None], of_b - d) - np.maximum(0, -d), votes[offsets]
+
+
+def align(a: np.ndarray, b: np.ndarray, least: int = 8, most_errors: float = 0.1) -> tuple[int, float] | None:
+    """(offset, share of differing bits) of b against a; None without an overlap of ``least`` frames.
+
+    Of all offsets with at most ``most_errors`` differing bits the one where most bits agree (the first of equals); if
+    there is none, the one with the least share.
+    """
+    if min(len(a), len(b)) < max(1, least):
+        return None
+    offsets, overlap, votes = (x.ravel() for x in histograms([a], [b], *(spectra([p], room([a], [b])) for p in (a, b))))
+    keep = overlap >= least
+    offsets, overlap = offsets[keep], overlap[keep]
+    differ = 16 * overlap - np.rint(votes[keep].astype(float)) / 2
+    share = differ / (32 * overlap)
+    good = share <= most_errors
+    at = int(np.argmax(np.where(good, 32 * overlap - differ, -1))) if good.any() else int(np.argmin(share))
+    return int(offsets[at]), float(share[at])
+
+
+def aligned(a: list[np.ndarray], b: list[np.ndarray], least: int = 8, most_errors: float = 0.1) -> Iterator[tuple[int, int, int, float]]:
+    """(index in a, index in b, offset, share) for all pairs that ``align`` puts within ``most_errors``; in pieces of bounded memory."""
+
+    def parts(prints: list[np.ndarray]) -> list[list[int]]:
+        # Neighbours in length share a piece, so that short prints are not padded to long ones.
+        out: list[list[int]] = []
+        for i in sorted((i for i, p in enumerate(prints) if len(p) >= max(1, least)), key=lambda i: (len(prints[i]), i)):
+            n = len(prints[i])
+            if not out or n > 2 * len(prints[out[-1][0]]) or (len(out[-1]) + 1) * n > PIECE_FRAMES:
+                out.append([])
+            out[-1].append(i)
+        return out
+
+    asked, known = parts(a), {}
+    for q in parts(b):
+        there = [b[i] for i in q]
+        spectrum: dict[int, np.ndarray] = {}
+        for k, p in enumerate(asked):
+            here = [a[i] for i in p]
+            size = room(here, there)
+            if size not in spectrum:
+                spectrum[size] = spectra(there, size)
+            if (k, size) not in known:
+                known[k, size] = spectra(here, size)
+            offsets, overlap, votes = histograms(here, there, known[k, size], spectrum[size])
+            # A little under the limit, so that rounding loses none; the exact share decides.
+            good = votes >= np.where(overlap >= least, overlap * (32 - 64 * most_errors) - 0.25, np.inf).astype(votes.dtype)
+            i, j = np.nonzero(good.any(0))
+            if not len(i):
+                continue
+            m = np.broadcast_to(overlap, votes.shape)[:, i, j]
+            differ = 16 * m - np.rint(votes[:, i, j].astype(float)) / 2
+            share = differ / (32 * np.maximum(m, 1))
+            agree = np.where((share <= most_errors) & (m >= least), 32 * m - differ, -1)
+            at, each = agree.argmax(0), np.arange(len(i))
+            for n in np.flatnonzero(agree[at, each] >= 0).tolist():
+                yield p[i[n]], q[j[n]], int(offsets[at[n]]), float(share[at[n], n])
 
 
 def fingerprints(recordings: DataFrame) -> DataFrame:
@@ -125,44 +191,54 @@ def fingerprints(recordings: DataFrame) -> DataFrame:
     return recordings.select(F.col("rec_id").cast("long").alias("rec_id"), "audio").mapInArrow(run, "rec_id long, n_frames long, print binary")
 
 
-def search(prints: DataFrame, every: int = 50, most_errors: float = 0.1, bits: int = 32) -> DataFrame:
+def search(prints: DataFrame, every: int = 50, most_errors: float = 0.1) -> DataFrame:
     """Recordings whose id is divisible by ``every``, searched against all.
 
     A row for each recording: rec_id, n_frames, class_id (smallest id with the same print), is_query, and for queries
     ``matches``: an array of (class_id, offset, error) of all other classes that align with at most ``most_errors``
-    differing bits. Candidates share the top ``bits`` of an integer at some frame, from an inverted index over all rows;
-    no bucket is capped. A null id is its own class without matches; an empty print matches nothing.
+    differing bits over 8 frames or more. Every query is compared with every class at every offset, so no pair is missed;
+    the work grows with queries times classes. A null id is its own class without matches; a print of under 8 frames
+    matches nothing.
     """
     scratch = Scratch(prints.sparkSession, "chroma")
     prints = scratch.keep(prints, "prints")
     classes = prints.where("rec_id is not null and n_frames > 0").groupBy("print").agg(F.min("rec_id").alias("class_id"), F.max((F.col("rec_id") % every == 0).cast("int")).alias("asked"))
-    classes = scratch.keep(classes.withColumn("sum", F.xxhash64("print")), "classes")
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches, 1000):
-            ids, keys = [], []
-            for i, raw in zip(b.column("class_id").to_pylist(), b.column("print").to_pylist(), strict=True):
-                own = np.unique(np.frombuffer(raw, np.uint32) >> np.uint32(32 - bits))
-                keys.append(own)
-                ids.append(np.full(len(own), i, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids) if ids else [], pa.int64()), pa.array(np.concatenate(keys).astype(np.int64) if keys else [], pa.int64())], names=["class_id", "key"])
-
-    index = classes.select("class_id", "print").mapInArrow(explode, "class_id long, key long")
-    asked = classes.where("asked = 1").select("class_id", "print").mapInArrow(explode, "class_id long, key long").withColumnRenamed("class_id", "query_id")
-    pairs = asked.join(index, "key").where("query_id <> class_id").groupBy("query_id", "class_id").agg(F.count("*").alias("met")).where("met >= 2").select("query_id", "class_id")
+    classes = scratch.keep(classes, "classes")
+
+    def packed(name: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def row(ids: list[int], raw: list[bytes]) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([raw], pa.list_(pa.binary()))], names=[f"{name}_ids", name])
+
+            ids, raw, size = [], [], 0
+            for b in batches:
+                for i, p in zip(b.column("class_id").to_pylist(), b.column("print").to_pylist(), strict=True):
+                    if ids and size + len(p) > PACK_BYTES:
+                        yield row(ids, raw)
+                        ids, raw, size = [], [], 0
+                    ids.append(i)
+                    raw.append(p)
+                    size += len(p)
+            if ids:
+                yield row(ids, raw)
+
+        return run
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches):
-            rows = []
-            for q, c, x, y in zip(*(b.column(n).to_pylist() for n in ("query_id", "class_id", "a", "b")), strict=True):
-                got = align(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32))
-                if got and got[1] <= most_errors:
-                    rows.append((q, c, *got))
-            c = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.float64())], names=["query_id", "class_id", "offset", "error"])
-
-    both = pairs.join(classes.select(F.col("class_id").alias("query_id"), F.col("print").alias("a")), "query_id").join(classes.select("class_id", F.col("print").alias("b")), "class_id")
-    found = both.select("query_id", "class_id", "a", "b").mapInArrow(compare, "query_id long, class_id long, offset long, error double")
+        for b in batches:
+            for k in range(b.num_rows):
+                asked, ids = b.column("a_ids")[k].as_py(), b.column("b_ids")[k].as_py()
+                x, y = ([np.frombuffer(p, np.uint32) for p in b.column(n)[k].as_py()] for n in "ab")
+                rows = ((asked[i], ids[j], offset, share) for i, j, offset, share in aligned(x, y, most_errors=most_errors) if asked[i] != ids[j])
+                while some := list(islice(rows, 10_000)):
+                    c = list(zip(*some, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.float64())], names=["query_id", "class_id", "offset", "error"])
+
+    asked = classes.where("asked = 1").select("class_id", "print").mapInArrow(packed("a"), "a_ids array<long>, a array<binary>")
+    index = classes.select("class_id", "print").mapInArrow(packed("b"), "b_ids array<long>, b array<binary>")
+    # Packs are written first, so that the cross join repeats a read and not the packing.
+    found = scratch.keep(index, "packs").crossJoin(scratch.keep(asked, "asked"))
+    found = found.mapInArrow(compare, "query_id long, class_id long, offset long, error double")
     found = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("class_id", "offset", "error"))).alias("matches"))
     out = prints.join(classes.select("print", F.col("class_id").alias("own")), "print", "left").join(found, F.col("own") == F.col("query_id"), "left")
     is_query = F.coalesce(F.col("rec_id") % every == 0, F.lit(False))
