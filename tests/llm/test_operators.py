@@ -314,6 +314,35 @@ def test_mixing(spark):
     assert mixing.mix(odd(spark)).count() == len(ODD) and mixing.mix(odd(spark).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("weights", [dict.fromkeys(map(str, range(21)), 1.0), {"a": 1.0, "b": 0.0005, "c": math.pi, "d": 2 / 3}, {"a": 0.7, "b": 0.2, "c": 0.1}])
+def test_mixing_keeps_target_weights(weights):
+    """Against the unrounded weights over very many slots, while all sources last."""
+    blocks = dict.fromkeys(weights, 3000) | ({"b": 30} if "d" in weights else {})
+    phases, patterns = mixing.plan(blocks, mixing.shares(weights, 1000))
+    slots = {(p["phase"], p["source"]): p["slots"] for p in patterns}
+    order = {}
+    for p in phases:
+        own = slots[p["phase"], p["source"]]
+        order |= {p["begin"] + (b - p["first"]) // p["q"] * p["n"] + own[(b - p["first"]) % p["q"]]: p["source"] for b in range(p["first"], p["until"])}
+    assert sorted(order) == list(range(sum(blocks.values()))) and collections.Counter(order.values()) == blocks
+    done, total = collections.Counter(), sum(weights.values())
+    for t in range(len(order)):
+        done[order[t]] += 1
+        assert all(abs(done[s] - (t + 1) * w / total) < 1 for s, w in weights.items())
+        if done[order[t]] == blocks[order[t]]:
+            break
+    assert t > 3000
+
+
+def test_mixing_weights(spark):
+    assert mixing.shares({"a": 0.5, "b": 0.0001, "c": 0.0}, 1000) == {"a": 5000, "b": 1, "c": 0}
+    with pytest.raises(ValueError):
+        mixing.shares({"a": -1.0}, 1000)
+    rows = spark.createDataFrame([(i, "abz"[i % 3]) for i in range(300)], "doc_id long, source string")
+    out = sorted(mixing.mix(rows, {"a": 1.0, "b": 1e-30, "z": 0.0}, block_rows=1).collect(), key=lambda r: r.mix_slot)
+    assert [r.mix_slot for r in out] == list(range(300)) and {r.source for r in out[200:]} == {"z"} and sum(r.source == "a" for r in out[:101]) == 100
+
+
 def test_chroma(spark):
     rng = np.random.default_rng(3)
     vectors = [(i, rng.normal(0, 0.12, 64).tolist()) for i in range(60)]

@@ -2,46 +2,54 @@
 
 Documents of a source are cut into blocks of equally many rows in a hashed order. Block j of a source with weight w is
 released at j / w and due at (j + 1) / w, counted in block slots; earliest deadline first among the released blocks
-keeps every source within less than one block of its fluid share at all times. Weights are whole numbers of slots in a
-period, so the schedule repeats: one period is planned per set of sources that still have blocks (a table of as many
-rows as the period, its size fixed by ``period``), and every block finds its slot by arithmetic and an equi-join.
-When a source runs out, the others go on in the proportion of their weights, so each row appears exactly once.
+keeps every source within less than one block of its fluid share at all times. Weights are exact ratios of whole
+numbers, so the schedule repeats after their sum: one period is planned per set of sources that still have blocks, or
+less where a source runs out sooner (so a plan never has more slots than there are blocks), and every block finds its
+slot by arithmetic and an equi-join. When a source runs out, the others go on in the proportion of their weights, so
+each row appears exactly once; sources of weight zero come after all others, in equal parts.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
+import math
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_SOURCES = 2_000
+LONG = 1 << 62
 
 
-def shares(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole slots of a period for each weight, one at least, by largest remainders."""
-    total = sum(weights.values())
-    exact = {s: w * period / total for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: max(0, period - sum(out.values()))]:
-        out[s] += 1
-    return out
+def shares(weights: dict[str, float], period: int | None = None) -> dict[str, int]:
+    """The least whole numbers in exactly the ratio of the weights as they are written in decimals; nothing is rounded to ``period``."""
+    exact = {s: Fraction(str(w)) for s, w in weights.items() if math.isfinite(w) and w >= 0}
+    if len(exact) < len(weights):
+        raise ValueError(f"weights must be finite and not negative: {sorted(set(weights) - set(exact))[:5]}")
+    unit = math.lcm(*(x.denominator for x in exact.values()))
+    whole = {s: int(x * unit) for s, x in exact.items()}
+    common = math.gcd(*whole.values()) or 1
+    return {s: x // common for s, x in whole.items()}
 
 
-def one_period(slots: dict[str, int]) -> list[str]:
-    """The earliest-deadline-first order of one period: the source of each slot."""
+def one_period(slots: dict[str, int], left: dict[str, int] | None = None) -> list[str]:
+    """The earliest-deadline-first order of one period: the source of each slot. It ends sooner with the last of ``left`` blocks of a source."""
     n = sum(slots.values())
     waiting = [(0, s, 0) for s in slots]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
     out = []
-    for t in range(n):
+    for t in range(n) if n < 1 << 62 else itertools.count():
         while waiting and waiting[0][0] <= t:
             _, s, j = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(j + 1) * n // slots[s]), s, j))
         _, s, j = heapq.heappop(ready)
         out.append(s)
+        if left and j + 1 == left[s]:
+            break
         if j + 1 < slots[s]:
             heapq.heappush(waiting, ((j + 1) * n // slots[s], s, j + 1))
     return out
@@ -51,25 +59,31 @@ def plan(blocks: dict[str, int], slots: dict[str, int]) -> tuple[list[dict], lis
     """Phases, in each of which the same sources take part, and the pattern of each phase.
 
     A phase row has source, phase, first (its first block of the phase), until, begin (slot), q (slots of a period), n (period); a
-    pattern row has phase, source, turn, slot.
+    pattern row has phase, source and slots, those of its blocks in turn.
     """
     left, done = {s: b for s, b in blocks.items() if b > 0}, dict.fromkeys(blocks, 0)
     phases, patterns, begin = [], [], 0
     while left:
-        active = {s: slots[s] for s in left}
-        order = one_period(active)
-        n, at = len(order), {s: [] for s in active}
+        active = {s: slots[s] for s in left if slots[s]} or dict.fromkeys(left, 1)
+        common = math.gcd(*active.values())
+        active = {s: q // common for s, q in active.items()}
+        order = one_period(active, left)
+        n, at = sum(active.values()), {s: [] for s in active}
         for t, s in enumerate(order):
             at[s].append(t)
-        ends = {s: (b - 1) // active[s] * n + at[s][(b - 1) % active[s]] + 1 for s, b in left.items()}
-        length = min(ends.values())
+        if len(order) < n or len(at[order[-1]]) == left[order[-1]]:
+            length = len(order)  # a source runs out within the first period
+        else:
+            length = min((left[s] - 1) // q * n + at[s][(left[s] - 1) % q] + 1 for s, q in active.items())
         k = len(patterns) and patterns[-1]["phase"] + 1
+        # A source that gets no slot before the first one ends has no block in this phase.
         for s in active:
             got = length // n * active[s] + sum(t < length % n for t in at[s])
-            phases.append({"source": s, "phase": k, "first": done[s], "until": done[s] + got, "begin": begin, "q": active[s], "n": n})
+            # Beyond 64 bits no block comes near the end of a period.
+            phases.append({"source": s, "phase": k, "first": done[s], "until": done[s] + got, "begin": begin, "q": min(active[s], LONG), "n": min(n, LONG)})
             done[s] += got
             left[s] -= got
-            patterns += [{"phase": k, "source": s, "turn": j, "slot": t} for j, t in enumerate(at[s])]
+            patterns.append({"phase": k, "source": s, "slots": at[s]})
         left = {s: b for s, b in left.items() if b > 0}
         begin += length
     return phases, patterns
@@ -78,7 +92,8 @@ def plan(blocks: dict[str, int], slots: dict[str, int]) -> tuple[list[dict], lis
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = 16, period: int = 1000, bucket_rows: int = 20_000) -> DataFrame:
     """``docs`` with mix_block, mix_slot and mix_position (replaced if there): their place in the mixed order.
 
-    ``weights`` are targets by source; a source that is not named has weight 1, with None all are equal. A null source
+    ``weights`` are targets by source; a source that is not named has weight 1, with None all are equal; one of weight
+    zero comes last. The ratios are kept exactly, so ``period`` has no effect any more. A null source
     is a source of its own, the empty name. Every row is kept and placed once, repeated rows and null ids too; the order inside
     a source is by a hash of the id. An empty table gives an empty result. More than MOST_SOURCES sources are refused.
     """
@@ -99,7 +114,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     if not sizes:
         return docs.select("*", *[F.lit(None).cast("long").alias(c) for c in ("mix_block", "mix_slot", "mix_position")])
     wanted = {s: float((weights or {}).get(s, 1.0)) for s in sizes}
-    phases, patterns = plan(sizes, shares(wanted, max(period, len(sizes))))
+    phases, patterns = plan(sizes, shares(wanted, period))
 
     def table(rows: list[dict], ddl: str) -> DataFrame:
         return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{ddl}>>")).alias("r")).select("r.*")
@@ -107,7 +122,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     phases = table(phases, "source: string, phase: bigint, first: bigint, until: bigint, begin: bigint, q: bigint, n: bigint")
     # Blocks get slots before rows are touched: as many rows as blocks, a hundredth of the documents or fewer.
     spread = phases.select("source", "phase", "first", "begin", "q", "n", F.explode(F.expr("IF(until > first, sequence(first, until - 1), array())")).alias("block"))
-    pattern = table(patterns, "phase: bigint, source: string, turn: bigint, slot: bigint")
+    pattern = table(patterns, "phase: bigint, source: string, slots: array<bigint>")
+    pattern = pattern.select("phase", "source", F.posexplode("slots").alias("turn", "slot"))
     placed = spread.withColumn("turn", (F.col("block") - F.col("first")) % F.col("q")).join(pattern, ["phase", "source", "turn"])
     placed = placed.select(F.col("source").alias("_source"), F.col("block").alias("mix_block"), (F.col("begin") + F.floor((F.col("block") - F.col("first")) / F.col("q")) * F.col("n") + F.col("slot")).cast("long").alias("mix_slot"))
 
