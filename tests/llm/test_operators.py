@@ -215,6 +215,27 @@ def test_decontamination(spark):
     assert decontam.leaks(odd(spark), bench.limit(0)).count() == 0 and decontam.leaks(odd(spark).limit(0), bench).count() == 0
 
 
+def edited(rng, words, edits):
+    """The words after so many edits, each at another word."""
+    out = list(words)
+    for k in sorted(rng.sample(range(len(words)), edits), reverse=True):
+        out[k : k + 1] = rng.choice([[], [f"e{k}"], [out[k], f"e{k}"]])
+    return out
+
+
+@pytest.mark.parametrize("n", [12, 100, 250, 500])
+def test_decontamination_of_long_items(n):
+    """Passages with as many edits as the rate allows are all found, at the least distance."""
+    rng = random.Random(n)
+    items = [(i, text(rng, n, 3000)) for i in range(6)]
+    index = decontam.BenchmarkIndex(items)
+    for i, t in items:
+        w = [f"o{k}" for k in range(30)] + edited(rng, t.split(), index.most(n)) + [f"p{k}" for k in range(40)]
+        own, _ = words.words_of([" ".join(w).encode()])
+        want = decontam.best_window(index.words[i].tolist(), own.tolist(), index.most(n))
+        assert want and (i, want[0]) in {(k, d) for k, _, d in index.matches(own)}
+
+
 def test_best_window():
     def distance(a, b):
         r = list(range(len(b) + 1))

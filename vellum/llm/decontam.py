@@ -3,13 +3,15 @@
 Texts are sequences of lower-cased words. A document leaks an item of n words when a window is within an edit
 distance of ``rate`` * n words of it. Windows start at every word of a document.
 
-Two steps find candidates. The first is lossless: an edit changes at most two pairs of neighbouring words, so a window
+Three steps find candidates. The first is lossless: an edit changes at most two pairs of neighbouring words, so a window
 can only be within d edits of an item if at least n - 1 - 2d of its n - 1 pairs occur in the benchmark; a running sum
 gives this for all starts of all documents. For the starts that pass, the CGK random walk (Chakraborty, Goldenberg,
 Koucky) turns edit distance into Hamming distance: it reads the window word by word, writes the word at each step, and a
 random bit of (step, word) says whether to move on. Positions of the embedding are sampled into keys; items with an
-equal key in any of the repetitions are candidates. The repetitions are chosen for the target recall. Candidates are
-verified by the exact edit distance.
+equal key in any of the repetitions are candidates. Copies always meet, and need no search; windows with many edits meet
+less and less often the longer they are. So last, the pairs are counted again for each single item, and all starts that
+hold enough pairs of an item that is not known as a copy are candidates too: whatever the length, none is missed.
+Candidates are verified by the exact edit distance.
 """
 
 from __future__ import annotations
@@ -77,6 +79,13 @@ class BenchmarkIndex:
         self.rate, self.repetitions, self.samples = rate, repetitions, samples
         self.lengths = sorted({len(w) for w in self.words})
         self.pairs = np.unique(np.concatenate([self.pair(w) for w in self.words])) if both else np.zeros(0, np.uint64)
+        # For each pair the items that hold it: those of pair p are owners[first[p] : first[p + 1]].
+        held = [np.unique(np.searchsorted(self.pairs, self.pair(w))) for w in self.words]
+        flat = np.concatenate(held) if both else np.zeros(0, np.int64)
+        self.owners = np.repeat(np.arange(len(held)), [len(h) for h in held])[np.argsort(flat, kind="stable")] if both else flat
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=len(self.pairs)))])
+        self.length = np.array([len(w) for w in self.words], np.int64)
+        self.need = np.array([self.least(len(w)) for w in self.words], np.int64)
         # How often one item holds one pair, at most: longer runs of a pair in a document cannot stem from an item.
         self.runs = max((int(np.unique(self.pair(w), return_counts=True)[1].max()) for w in self.words), default=1)
         self.weights = mix64(np.arange(1, max(self.lengths, default=0) + 1, dtype=np.uint64)) | np.uint64(1)
@@ -103,6 +112,10 @@ class BenchmarkIndex:
     def most(self, n: int) -> int:
         return int(math.floor(self.rate * n))
 
+    def least(self, n: int) -> int:
+        """Pairs that a window within ``most`` edits of an item of n words holds at least."""
+        return n - 1 - 2 * self.most(n)
+
     def keys(self, windows: np.ndarray, n: int) -> np.ndarray:
         """For each window (a row of n words) and repetition a key of sampled positions of its embedding.
 
@@ -121,10 +134,8 @@ class BenchmarkIndex:
             at = np.minimum(at + (((word ^ salts[j]) * GAP >> np.uint64(63)) == 1), n)
         return key
 
-    def starts(self, words: np.ndarray) -> dict[int, np.ndarray]:
-        """For each item length the starts whose windows hold enough pairs of the benchmark."""
-        if len(words) < 2 or not len(self.pairs):
-            return {}
+    def occurring(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each pair of the words its number among the benchmark's pairs, and whether it is one of them."""
         pairs = self.pair(words)
         at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
         found = self.pairs[at] == pairs
@@ -133,7 +144,11 @@ class BenchmarkIndex:
             for k in range(1, self.runs + 1):
                 same[self.runs :] &= pairs[self.runs :] == pairs[self.runs - k : len(pairs) - k]
             found &= ~same
-        if found.sum() < min(max(1, n - 1 - 2 * self.most(n)) for n in self.lengths):
+        return at, found
+
+    def starts(self, words: np.ndarray, found: np.ndarray) -> dict[int, np.ndarray]:
+        """For each item length the starts whose windows hold enough pairs of the benchmark."""
+        if found.sum() < min(map(self.least, self.lengths)):
             return {}
         total = np.concatenate([[0], np.cumsum(found, dtype=np.int32), np.full(self.lengths[-1], found.sum(), np.int32)]).astype(np.int32)
         out = {}
@@ -148,18 +163,21 @@ class BenchmarkIndex:
 
     def enough(self, total: np.ndarray, starts: np.ndarray, lengths: list[int]) -> np.ndarray:
         """The starts that can hold an item of one of the lengths; exact for one length, no start too few for several."""
-        need = min(max(1, n - 1 - 2 * self.most(n)) for n in lengths)
+        need = min(map(self.least, lengths))
         return starts[total[starts + lengths[-1] - 1] - total[starts] >= need]
 
     def matches(self, words: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, first word, distance) for each item that the document leaks, at its best window."""
         best: dict[int, tuple[int, int]] = {}
-        viable = self.starts(words)
+        if len(words) < 2 or not len(self.pairs):
+            return []
+        at, found = self.occurring(words)
+        viable = self.starts(words, found)
         for least, lengths in self.classes.items():
-            found = [viable[n] for n in lengths if n in viable]
-            if not found:
+            good = [viable[n] for n in lengths if n in viable]
+            if not good:
                 continue
-            starts = np.unique(np.concatenate(found))
+            starts = np.unique(np.concatenate(good))
             padded = np.concatenate([words, np.zeros(least, np.uint64)])
             for block in np.array_split(starts, len(starts) // 2048 + 1):
                 windows = padded[block[:, None] + np.arange(least)]
@@ -171,10 +189,39 @@ class BenchmarkIndex:
                 by_item: dict[int, list[int]] = {}
                 for k, row in pairs:
                     by_item.setdefault(k, []).append(int(block[row]))
-                for k, at in by_item.items():
-                    self.verify(k, sorted(at), words, best)
+                for k, near in by_item.items():
+                    self.verify(k, sorted(near), words, best)
+        if viable:
+            for k, near in self.by_count(viable, at, found):
+                if best.get(k, (1, 0))[0]:
+                    self.verify(k, near, words, best)
         return sorted((self.ids[k], start, d) for k, (d, start) in best.items())
 
+    def by_count(self, viable: dict[int, np.ndarray], at: np.ndarray, found: np.ndarray, span: int = 4096) -> Iterator[tuple[int, list[int]]]:
+        """Each item with the starts whose windows hold enough pairs of this item, in stretches of ``span`` words."""
+        asked = np.zeros(self.lengths[-1] + 1, bool)
+        for part in np.unique(np.concatenate([s // span for s in viable.values()])).tolist():
+            lo, hi = part * span, min(len(found), (part + 1) * span + self.lengths[-1])
+            own = {n: s[np.searchsorted(s, lo) : np.searchsorted(s, lo + span)] for n, s in viable.items()}
+            asked[:] = False
+            asked[[n for n, s in own.items() if len(s)]] = True
+            where = lo + np.flatnonzero(found[lo:hi])
+            begin, count = self.first[at[where]], self.first[at[where] + 1] - self.first[at[where]]
+            item = self.owners[np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())]
+            where = np.repeat(where, count)
+            good = (np.bincount(item, minlength=len(self.need)) >= self.need) & asked[self.length]
+            if not good.any():
+                continue
+            keep = good[item]
+            item, where = item[keep], where[keep]
+            order = np.argsort(item, kind="stable")
+            item, where = item[order], where[order]
+            for k in np.flatnonzero(good).tolist():
+                held = where[np.searchsorted(item, k) : np.searchsorted(item, k, "right")]
+                n, s = int(self.length[k]), own[int(self.length[k])]
+                s = s[np.searchsorted(held, s + n - 1) - np.searchsorted(held, s) >= self.need[k]]
+                if len(s):
+                    yield k, s.tolist()
 
     def verify(self, k: int, at: list[int], words: np.ndarray, best: dict[int, tuple[int, int]]) -> None:
         """Exact search for item k around the candidate starts ``at``; neighbouring starts share one stretch of words."""
