@@ -236,6 +236,20 @@ def test_decontamination_of_long_items(n):
         assert want and (i, want[0]) in {(k, d) for k, _, d in index.matches(own)}
 
 
+def test_decontamination_against_all_windows():
+    """Runs of one word, few words, and passages that occur truncated before they occur whole."""
+    rng = random.Random(8)
+    cases = [(["a a b"], "a a a b"), (["a a b"], "a " * 50 + "b"), (["b a a"], "x b" + " a" * 50), (["a a a"], "a " * 9)]
+    long = [text(rng, 40, 900) for _ in range(2)]
+    cases.append((long + [" ".join(long[0].split()[:34])], " ".join(long[0].split()[:34]) + " o p q " + long[0].replace(" ", " z ", 3)))
+    cases += [([" ".join(rng.choice("ab") for _ in range(rng.randrange(3, 12))) for _ in range(4)], " ".join(rng.choice("aaab") for _ in range(30))) for _ in range(60)]
+    for items, doc in cases:
+        index = decontam.BenchmarkIndex(list(enumerate(items)))
+        own = words.words_of([doc.encode()])[0]
+        want = {(k, x[0]) for k, w in zip(index.ids, index.words, strict=True) if (x := decontam.best_window(w.tolist(), own.tolist(), index.most(len(w))))}
+        assert {(k, d) for k, _, d in index.matches(own)} == want, (items, doc)
+
+
 def test_best_window():
     def distance(a, b):
         r = list(range(len(b) + 1))

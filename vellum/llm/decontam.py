@@ -139,11 +139,13 @@ class BenchmarkIndex:
         pairs = self.pair(words)
         at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
         found = self.pairs[at] == pairs
-        if len(pairs) > self.runs:
-            same = np.concatenate([np.zeros(self.runs, bool), np.ones(len(pairs) - self.runs, bool)])
+        # Of a run of one pair both ends stay: an item may align to the first or to the last of them.
+        if len(pairs) > 2 * self.runs:
+            inner = slice(self.runs, len(pairs) - self.runs)
+            same = np.ones(len(pairs) - 2 * self.runs, bool)
             for k in range(1, self.runs + 1):
-                same[self.runs :] &= pairs[self.runs :] == pairs[self.runs - k : len(pairs) - k]
-            found &= ~same
+                same &= (pairs[inner] == pairs[self.runs - k : len(pairs) - self.runs - k]) & (pairs[inner] == pairs[self.runs + k : len(pairs) - self.runs + k])
+            found[inner] &= ~same
         return at, found
 
     def starts(self, words: np.ndarray, found: np.ndarray) -> dict[int, np.ndarray]:
