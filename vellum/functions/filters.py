@@ -13,22 +13,42 @@ SHORT = {"Fl": "FlateDecode", "LZW": "LZWDecode", "AHx": "ASCIIHexDecode", "A85"
 BLANK = re.compile(rb"[\x00\t\n\x0c\r ]+")
 
 
+#: Bytes that one stream may decode to.
+MOST_BYTES = 1 << 28
+
+
 class UnsupportedFilter(ValueError):
     pass
 
 
+class TooLarge(ValueError):
+    """A stream that decodes to more than MOST_BYTES."""
+
+
+def _checked(n: int) -> None:
+    if n > MOST_BYTES:
+        raise TooLarge(f"a stream decodes to more than {MOST_BYTES} bytes")
+
+
 def flate(data: bytes) -> bytes:
     """zlib, gzip or raw deflate; a corrupt tail keeps what came before it."""
     for window in (47, -15):
-        z, out = zlib.decompressobj(window), []
+        z, out, size = zlib.decompressobj(window), [], 0
         try:
             for at in range(0, len(data), 1 << 18):
-                out.append(z.decompress(data[at : at + (1 << 18)]))
+                piece = data[at : at + (1 << 18)]
+                while piece:
+                    out.append(z.decompress(piece, 1 << 24))
+                    piece = z.unconsumed_tail
+                    size += len(out[-1])
+                    _checked(size)
             out.append(z.flush())
             return b"".join(out)
         except zlib.error:
-            if any(out):
-                return b"".join(out) + _tail(data, b"".join(out), window)
+            got = b"".join(out)
+            got += _tail(data, got, window)
+            if got:
+                return got
     return b""
 
 
@@ -70,6 +90,7 @@ def lzw(data: bytes, early: int = 1) -> bytes:
             else:
                 return bytes(out)
             out += entry
+            _checked(len(out))
             if previous and nxt < 4096:
                 table[nxt] = previous + entry[:1]
                 nxt += 1
@@ -111,6 +132,7 @@ def run_length(data: bytes) -> bytes:
         else:
             out += data[at + 1 : at + 2] * (257 - n)
             at += 2
+        _checked(len(out))
     return bytes(out)
 
 
@@ -126,6 +148,8 @@ def unpredict(data: bytes, parms: dict) -> bytes:
         if full is None:
             raise UnsupportedFilter("TIFF predictor of another depth")
         return np.cumsum(full, axis=1, dtype=np.uint8).tobytes()
+    if len(data) % (row + 1) == 0 and set(data[:: row + 1]) <= {2}:  # rows that only differ from the one above
+        return np.cumsum(np.frombuffer(data, np.uint8).reshape(-1, row + 1)[:, 1:], axis=0, dtype=np.uint8).tobytes()
     out, above = bytearray(), bytearray(row)
     for at in range(0, len(data), row + 1):
         tag, line = data[at], bytearray(data[at + 1 : at + 1 + row])
@@ -146,11 +170,13 @@ def unpredict(data: bytes, parms: dict) -> bytes:
     return bytes(out)
 
 
-def decode(data: bytes, filters: list[str], parms: list[dict | None] | None = None) -> bytes:
-    """All filters in order. Image filters pass their data on; unknown and unsupported ones raise ``UnsupportedFilter``."""
+def decode(data: bytes, filters: list[str], parms: list[dict | None] | None = None, until: str | None = None) -> bytes:
+    """All filters in order, or those before the first one called ``until``. Image filters pass their data on; unknown and unsupported ones raise ``UnsupportedFilter``."""
     for i, name in enumerate(filters):
         p = (parms[i] if parms and i < len(parms) else None) or {}
         name = SHORT.get(name, name)
+        if until is not None and name == SHORT.get(until, until):
+            break
         if name == "FlateDecode":
             data = unpredict(flate(data), p)
         elif name == "LZWDecode":

@@ -9,6 +9,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import charsets
+
 # Code points of PDFDocEncoding that differ from Latin-1.
 PDFDOC = {0x18 + i: c for i, c in enumerate("˘ˇˆ˙˝˛˚˜")} | {0x80 + i: c for i, c in enumerate("•†‡…—–ƒ⁄‹›−‰„“”‘’‚™ﬁﬂŁŒŠŸŽıłœšž")} | {0xA0: "€"}
 # StandardEncoding beyond ASCII, by code.
@@ -28,9 +30,34 @@ GLYPHS = dict(zip(
 ))
 # Suffixes of accented letters and their combining marks.
 ACCENTS = {"acute": "́", "grave": "̀", "circumflex": "̂", "dieresis": "̈", "tilde": "̃", "ring": "̊", "cedilla": "̧", "caron": "̌", "breve": "̆", "macron": "̄", "dotaccent": "̇", "ogonek": "̨", "hungarumlaut": "̋", "commaaccent": "̦"}
+# Further glyph names, those of the Symbol font among them.
+GLYPHS |= dict(zip(
+    "universal existential suchthat congruent therefore perpendicular minute second lessequal greaterequal infinity club diamond heart spade arrowboth arrowleft arrowup arrowright arrowdown "
+    "proportional partialdiff notequal equivalence approxequal arrowdblboth arrowdblleft arrowdblup arrowdblright arrowdbldown aleph Ifraktur Rfraktur weierstrass circlemultiply circleplus "
+    "emptyset intersection union propersuperset reflexsuperset notsubset propersubset reflexsubset element notelement angle gradient product radical dotmath logicaland logicalor lozenge "
+    "angleleft angleright summation integral similar asteriskmath theta1 sigma1 phi1 omega1 Upsilon1 carriagereturn radicalex "
+    "oneeighth threeeighths fiveeighths seveneighths onethird twothirds onedotenleader twodotenleader figuredash colonmonetary threequartersemdash "
+    "parenleftsuperior parenrightsuperior parenleftinferior parenrightinferior "
+    "dcroat Dcroat hbar Hbar tbar Tbar eng Eng kgreenlandic longs IJ ij napostrophe nbspace nonbreakingspace softhyphen sfthyphen middot overscore estimated litre numero peseta franc".split(),
+    "∀∃∋≅∴⊥′″≤≥∞♣♦♥♠↔←↑→↓" "∝∂≠≡≈⇔⇐⇑⇒⇓ℵℑℜ℘⊗⊕" "∅∩∪⊃⊇⊄⊂⊆∈∉∠∇∏√⋅∧∨◊" "〈〉∑∫∼∗ϑςϕϖϒ↵‾" "⅛⅜⅝⅞⅓⅔․‥‒₡—" "⁽⁾₍₎" "đĐħĦŧŦŋŊĸſĲĳŉ\u00a0\u00a0\u00ad\u00ad·¯℮ℓ№₧₣", strict=True,
+)) | {"rupiah": "Rp"}
+# Suffixes of small capitals, old-style, raised and lowered figures.
+VARIANTS = re.compile("(.+)(small|oldstyle|superior|inferior|fitted)")
+RAISED, LOWERED = dict(zip("0123456789n", "⁰¹²³⁴⁵⁶⁷⁸⁹ⁿ", strict=True)), dict(zip("0123456789", "₀₁₂₃₄₅₆₇₈₉", strict=True))
 GREEK = "Alpha Beta Gamma Delta Epsilon Zeta Eta Theta Iota Kappa Lambda Mu Nu Xi Omicron Pi Rho Sigma Tau Upsilon Phi Chi Psi Omega".split()
 
 
+def _numbered(n: int) -> str:
+    """The Cyrillic and Hebrew letters that have numbers for names."""
+    for first, letters in ((10017, "АБВГДЕЁ"), (10065, "абвгдеё")):
+        if first <= n < first + 7:
+            return letters[n - first]
+    for first, last, start in ((10024, 10049, 0x416), (10072, 10097, 0x436), (57664, 57690, 0x5D0)):
+        if first <= n <= last:
+            return chr(start + n - first)
+    return ""
+
+
 def glyph_text(name: str) -> str:
     """The text of a glyph name: the part before a dot, joined parts, ``uniXXXX`` and ``uXXXX`` forms, listed and rule-made names; else empty."""
     out = []
@@ -48,6 +75,13 @@ def glyph_text(name: str) -> str:
             out.append(unicodedata.normalize("NFC", part[0] + ACCENTS[part[1:]]))
         elif part.capitalize() in GREEK:
             out.append(unicodedata.lookup(f"GREEK {'CAPITAL' if part[0].isupper() else 'SMALL'} LETTER {part.upper().replace('LAMBDA', 'LAMDA')}"))
+        elif m := re.fullmatch(r"afii(\d{5})", part):
+            out.append(_numbered(int(m[1])))
+        elif m := VARIANTS.fullmatch(part):
+            base = glyph_text(m[1]) or glyph_text(m[1].lower())
+            if m[2] == "small":
+                base = base.lower() if m[1].lower() not in ACCENTS else glyph_text(m[1].lower())
+            out.append({"superior": RAISED, "inferior": LOWERED}.get(m[2], {}).get(base, base))
     return "".join(out)
 
 
@@ -58,10 +92,17 @@ def _table(kind: str) -> list[str]:
         return [bytes([i]).decode("mac_roman").replace("€", "¤").replace("Ω", "Ω") for i in range(256)]
     if kind == "PDFDocEncoding":
         return [PDFDOC.get(i, chr(i)) for i in range(256)]
+    if kind == "MacExpertEncoding":
+        glyphs = charsets.mac_expert_glyphs()
+        return [glyph_text(glyphs[i]) if i in glyphs else "" for i in range(256)]
+    if kind == "Symbol":
+        return charsets.symbol_table()
+    if kind == "ZapfDingbats":
+        return charsets.dingbats_table()
     return [STANDARD.get(i, chr(i) if 31 < i < 127 else "") for i in range(256)]
 
 
-ENCODINGS = {k: _table(k) for k in ("StandardEncoding", "WinAnsiEncoding", "MacRomanEncoding", "PDFDocEncoding")}
+ENCODINGS = {k: _table(k) for k in ("StandardEncoding", "WinAnsiEncoding", "MacRomanEncoding", "MacExpertEncoding", "PDFDocEncoding", "Symbol", "ZapfDingbats")}
 TO_PDFDOC = {c: i for i, c in enumerate(ENCODINGS["PDFDocEncoding"])}
 
 

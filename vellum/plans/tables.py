@@ -6,8 +6,8 @@ parser only for what it holds, so listing labels does not evaluate page content.
 
 from __future__ import annotations
 
-import posixpath
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,30 +17,43 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..functions.filters import UnsupportedFilter
 from ..functions.scalars import date_columns, text_string, utc_date
-from ..operators.content import Evaluator, operators, paint
+from ..operators.content import Evaluator, grouped, paint
 from ..operators.fonts import ALL_CAP, BOLD, FIXED, ITALIC, SMALL_CAP, Font
-from ..sources.certificates import check_cms, check_pkcs1, pem_certificates
-from ..sources.document import Document
+from ..sources.certificates import check_cms, check_pkcs1, check_stamp, pem_certificates, read_pkcs12
+from ..sources.document import BadFile, Document
 from ..sources.syntax import Ref, Stream, show
 
 
 def pdf_files(spark: SparkSession, path: str, pattern: str = "*.pdf", most_bytes: int = 1 << 30) -> DataFrame:
-    """(path, modificationTime, length, content) of the files below ``path``; larger ones than ``most_bytes`` are not opened."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).where(F.col("length") <= most_bytes)
+    """(path, modificationTime, length, content) of the files below ``path``; one over ``most_bytes`` has a null content, which the tables report as an error."""
+    every = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    large = every.where(F.col("length") > most_bytes).select("path", "modificationTime", "length", F.lit(None).cast("binary").alias("content"))
+    return every.where(F.col("length") <= most_bytes).unionByName(large)
 
 
-def _table(files: DataFrame, ddl: str, rows: Callable[[Document], Iterator[dict]], passwords: list[str], reports: bool = False) -> DataFrame:
+class KeyFile(NamedTuple):
+    """A PKCS#12 file and its password, for documents that are encrypted to recipients; given among the passwords."""
+
+    data: bytes
+    password: str
+
+
+def _table(files: DataFrame, ddl: str, rows: Callable[[Document], Iterator[dict]], passwords: list[str | KeyFile], reports: bool = False) -> DataFrame:
     """``path`` and the rows that each file yields. With ``reports`` a bad file gives one row that has only ``error``."""
+    words, key_files = [p for p in passwords if isinstance(p, str)], [p for p in passwords if isinstance(p, KeyFile)]
     schema: StructType = _parse_datatype_string(f"path string, {ddl}" + (", error string" if reports else ""))
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recipient = read_pkcs12(*key_files[0]) if key_files else None
         for b in batches:
             for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
                 out = []
                 try:
-                    out = [{"path": path, **r} for r in rows(Document(content.as_py() or b"", passwords))]
-                except (ValueError, TypeError, KeyError, IndexError, AttributeError, RecursionError) as e:
+                    if not content.is_valid:
+                        raise BadFile("the file is missing or too large")
+                    out = [{"path": path, **r} for r in rows(Document(content.as_py(), words, recipient))]
+                except Exception as e:  # whatever is wrong with a file is that file's error
                     out = [{"path": path, "error": f"{type(e).__name__}: {e}"}] if reports else []
                 for at in range(0, len(out), 2000):
                     yield pa.RecordBatch.from_pylist(out[at : at + 2000], schema=arrow)
@@ -121,12 +134,12 @@ def pages(files: DataFrame, passwords: list[str] = ()) -> DataFrame:
     return _table(files, "page_no int, num long, label string, media_box array<float>, crop_box array<float>, rotate int, is_empty boolean, content_bytes long", rows, list(passwords))
 
 
-def page_text(files: DataFrame, passwords: list[str] = (), metrics: dict[str, dict] | None = None) -> DataFrame:
-    """page_no and text of every page; a bad file gives one row with ``error``."""
+def page_text(files: DataFrame, passwords: list[str] = (), metrics: dict[str, dict] | None = None, handlers: dict[str, Callable] | None = None, encodings: dict[str, Callable] | None = None) -> DataFrame:
+    """page_no and text of every page; a bad file gives one row with ``error``. ``handlers`` and ``encodings`` are for ``Evaluator``."""
 
     def rows(d: Document):
         for i, p in enumerate(d.pages(), 1):
-            e = Evaluator(d, p, metrics)
+            e = Evaluator(d, p, metrics, handlers, encodings)
             yield {"page_no": i, "text": paint(e.run(), e.profile)}
 
     return _table(files, "page_no int, text string", rows, list(passwords), True)
@@ -135,26 +148,26 @@ def page_text(files: DataFrame, passwords: list[str] = (), metrics: dict[str, di
 CORNERS = "lbx lby rbx rby rtx rty ltx lty".split()
 
 
-def text_runs(files: DataFrame, passwords: list[str] = (), metrics: dict[str, dict] | None = None) -> DataFrame:
+def text_runs(files: DataFrame, passwords: list[str] = (), metrics: dict[str, dict] | None = None, handlers: dict[str, Callable] | None = None, encodings: dict[str, Callable] | None = None) -> DataFrame:
     """The shown strings of every page with their boxes, in the order of the content."""
 
     def rows(d: Document):
         for i, p in enumerate(d.pages(), 1):
-            for r in Evaluator(d, p, metrics).run():
+            for r in Evaluator(d, p, metrics, handlers, encodings).run():
                 yield {"page_no": i, **{k: r[k] for k in ("seq", "text", "fontname", "fontflags", "size", *CORNERS)}}
 
     return _table(files, "page_no int, seq int, text string, fontname string, fontflags long, size float, " + ", ".join(f"{c} float" for c in CORNERS), rows, list(passwords))
 
 
 def content_operators(files: DataFrame, passwords: list[str] = ()) -> DataFrame:
-    """page_no, seq, depth, op, operands (PDF syntax) of every page's content."""
+    """page_no, seq, depth, parent (seq of the operator that opens the group around it), op, operands (PDF syntax) of every page's content."""
 
     def rows(d: Document):
         for i, p in enumerate(d.pages(), 1):
-            for seq, (op, args, depth) in enumerate(operators(d.contents(p))):
-                yield {"page_no": i, "seq": seq, "depth": depth, "op": op, "operands": [show(a) for a in args]}
+            for seq, (op, args, depth, parent) in enumerate(grouped(d.contents(p))):
+                yield {"page_no": i, "seq": seq, "depth": depth, "parent": parent, "op": op, "operands": [show(a) for a in args]}
 
-    return _table(files, "page_no int, seq int, depth int, op string, operands array<string>", rows, list(passwords))
+    return _table(files, "page_no int, seq int, depth int, parent int, op string, operands array<string>", rows, list(passwords))
 
 
 def fonts(files: DataFrame, passwords: list[str] = (), metrics: dict[str, dict] | None = None) -> DataFrame:
@@ -207,7 +220,7 @@ def attachments(files: DataFrame, passwords: list[str] = ()) -> DataFrame:
     return _table(files, "page_no int, name string, content binary", lambda d: ({"page_no": p, "name": n, "content": c} for p, n, c in d.attachments()), list(passwords))
 
 
-FORMATS = ("adbe.pkcs7.detached", "adbe.pkcs7.sha1", "ETSI.CAdES.detached", "adbe.x509.rsa_sha1")
+FORMATS = ("adbe.pkcs7.detached", "adbe.pkcs7.sha1", "ETSI.CAdES.detached")
 
 
 def signatures(files: DataFrame, passwords: list[str] = (), trust_pem: str = "") -> DataFrame:
@@ -225,6 +238,8 @@ def signatures(files: DataFrame, passwords: list[str] = (), trust_pem: str = "")
             try:
                 if s["subfilter"] == "adbe.x509.rsa_sha1":
                     got = check_pkcs1([cert] if isinstance(cert, bytes) else [d.get(c) for c in cert or []], s["contents"], raw, at, anchors)
+                elif s["subfilter"] == "ETSI.RFC3161":
+                    got = check_stamp(s["contents"], raw, anchors)
                 elif s["subfilter"] in FORMATS:
                     got = check_cms(s["contents"], raw, at, anchors, s["subfilter"] == "adbe.pkcs7.sha1")
                 else:
@@ -243,7 +258,12 @@ def certificates(signed: DataFrame) -> DataFrame:
     return every.groupBy("subject", "issuer").agg(F.min(F.struct("not_before", "not_after", "text")).alias("m")).select("subject", "issuer", "m.*")
 
 
+def write_pem(certs: DataFrame, path: str) -> None:
+    """The texts of a ``certificates`` table as PEM files."""
+    certs.select("text").write.mode("overwrite").option("lineSep", "").text(path)
+
+
 def write_texts(texts: DataFrame, path: str) -> None:
-    """Page texts as Parquet, one folder a file name."""
-    name = F.udf(lambda p: posixpath.basename(p or ""), "string")
-    texts.withColumn("file", name("path")).write.partitionBy("file").mode("overwrite").parquet(path)
+    """Page texts as Parquet with the name of their file, sorted by path and page within each part, so that one file's pages are read together."""
+    name = F.element_at(F.split(F.coalesce("path", F.lit("")), "/"), -1)
+    texts.withColumn("file", name).sortWithinPartitions("path", "page_no").write.mode("overwrite").parquet(path)

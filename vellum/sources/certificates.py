@@ -1,7 +1,7 @@
 """Certificates and signed data: a DER reader, RSA checks, X.509 chains, CMS and PKCS#1 signatures.
 
-Only what signature fields of documents need: RSA with PKCS#1 v1.5 padding, chains up to given trust anchors at the
-signing time, no revocation.
+Only what signature fields and recipients of documents need: RSA with PKCS#1 v1.5 padding, chains up to given trust
+anchors at the signing time, time stamps, PKCS#12 files, enveloped data; no revocation.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ DIGESTS = {"1.3.14.3.2.26": "sha1", "2.16.840.1.101.3.4.2.1": "sha256", "2.16.84
 RSA_DIGESTS = {"1.2.840.113549.1.1.5": "sha1", "1.2.840.113549.1.1.11": "sha256", "1.2.840.113549.1.1.12": "sha384", "1.2.840.113549.1.1.13": "sha512"}
 NAMES = {"2.5.4.3": "CN", "2.5.4.6": "C", "2.5.4.7": "L", "2.5.4.8": "ST", "2.5.4.10": "O", "2.5.4.11": "OU", "1.2.840.113549.1.9.1": "emailAddress"}
 MESSAGE_DIGEST, SIGNING_TIME = "1.2.840.113549.1.9.4", "1.2.840.113549.1.9.5"
+BASIC_CONSTRAINTS, KEY_USAGE = "2.5.29.19", "2.5.29.15"
+TIME_STAMP, TIME_STAMP_INFO = "1.2.840.113549.1.9.16.2.14", "1.2.840.113549.1.9.16.1.4"
 MOST_CHAIN = 16
 
 
@@ -97,6 +99,26 @@ class Certificate:
         if key[0].kids[0].oid() == "1.2.840.113549.1.1.1":
             n, e = next(nodes(key[1].body[1:])).kids
             self.modulus, self.exponent = n.number(), e.number()
+        self.extensions = {e.kids[0].oid(): next(nodes(e.kids[-1].body)) for k in fields[6:] if k.tag == 0xA3 for e in k.kids[0].kids}
+
+    @property
+    def self_signed(self) -> bool:
+        return self.subject_raw == self.issuer_raw and rsa_signed(self, self.digest, self.signed, self.signature)
+
+    def may_issue(self, below: int, anchor: bool = False) -> bool:
+        """Whether it may sign a certificate that has ``below`` issued authorities under it: an authority by its basic constraints, and by its key usage if it has one.
+
+        Of the anchors, which the caller trusts, old ones without any extension may.
+        """
+        if not self.extensions:
+            return anchor
+        limits = self.extensions[BASIC_CONSTRAINTS].kids if BASIC_CONSTRAINTS in self.extensions else []
+        if not limits or limits[0].tag != 1 or not any(limits[0].body):
+            return False
+        if len(limits) > 1 and below > limits[1].number():
+            return False
+        usage = self.extensions.get(KEY_USAGE)
+        return usage is None or (len(usage.body) > 1 and bool(usage.body[1] & 0x04))
 
     def row(self) -> dict:
         pem = base64.encodebytes(self.raw).decode()
@@ -133,25 +155,50 @@ def pem_certificates(text: str) -> list[Certificate]:
 
 
 def trusted(cert: Certificate, others: list[Certificate], anchors: list[Certificate], at: datetime) -> None:
-    """Raise unless a chain of valid certificates leads from ``cert`` to an anchor at that time."""
-    for _ in range(MOST_CHAIN):
+    """Raise unless a chain of valid certificates leads from ``cert`` to an anchor at that time; all issuers must be authorities."""
+    for below in range(MOST_CHAIN):
         if not cert.not_before <= at <= cert.not_after:
             raise BadSignature(f"certificate of {cert.cn or cert.subject} is not valid at {at}")
         if any(cert.raw == a.raw for a in anchors):
             return
-        above = next((c for c in (*anchors, *others) if c.subject_raw == cert.issuer_raw and rsa_signed(c, cert.digest, cert.signed, cert.signature)), None)
-        if above is None:
+        above = [c for c in (*anchors, *others) if c.subject_raw == cert.issuer_raw and rsa_signed(c, cert.digest, cert.signed, cert.signature)]
+        if not above:
             raise BadSignature(f"no trusted issuer of {cert.cn or cert.subject}")
-        if above.raw == cert.raw:
+        if above[0].raw == cert.raw:
             raise BadSignature("self-signed certificate is not trusted")
-        cert = above
+        fit = next((c for c in above if c.may_issue(below, any(c.raw == a.raw for a in anchors))), None)
+        if fit is None:
+            raise BadSignature(f"{above[0].cn or above[0].subject} may not issue certificates")
+        cert = fit
     raise BadSignature("chain is too long")
 
 
-def check_cms(cms: bytes, data: bytes, fallback: datetime | None, anchors: list[Certificate], sha1_content: bool = False) -> dict:
+def _stamped(token: bytes, data: bytes, anchors: list[Certificate]) -> tuple[datetime, dict]:
+    """The time of an RFC 3161 time stamp token over ``data``, checked as signed data of its own; raises BadSignature."""
+    content = next(nodes(token)).kids[1].kids[0].kids
+    inner = next(k for k in content if k.tag == 0x30)
+    if inner.kids[0].oid() != TIME_STAMP_INFO:
+        raise BadSignature("no time stamp")
+    info = next(nodes(next(nodes(inner.kids[1].body)).body))
+    algorithm, imprint = info.kids[2].kids
+    name = DIGESTS.get(algorithm.kids[0].oid())
+    if name is None or not hmac.compare_digest(imprint.body, hashlib.new(name, data).digest()):
+        raise BadSignature("the time stamp is of other data")
+    at = asn1_time(next(k for k in info.kids[3:] if k.tag == 0x18))
+    return at, check_cms(token, info.raw, at, anchors, at_time=at)
+
+
+def check_stamp(token: bytes, data: bytes, anchors: list[Certificate]) -> dict:
+    """Check a document time stamp (``ETSI.RFC3161``)."""
+    at, got = _stamped(token, data, anchors)
+    return got | {"verified_at": at}
+
+
+def check_cms(cms: bytes, data: bytes, fallback: datetime | None, anchors: list[Certificate], sha1_content: bool = False, at_time: datetime | None = None) -> dict:
     """Check a detached CMS signature over ``data`` (its SHA-1 is the content with ``sha1_content``); raises BadSignature.
 
-    The time is the signing-time attribute, else ``fallback``, else now.
+    The time is ``at_time``, else the signing-time attribute, else that of a valid time stamp of the signature, else
+    ``fallback``, else now.
     """
     content = next(nodes(cms)).kids[1].kids[0].kids
     certs = [Certificate(c.raw) for k in content if k.tag == 0xA0 for c in k.kids if c.tag == 0x30]
@@ -174,7 +221,7 @@ def check_cms(cms: bytes, data: bytes, fallback: datetime | None, anchors: list[
         raise BadSignature("unknown digest")
     attributes = parts[3] if parts[3].tag == 0xA0 else None
     signature = parts[5 if attributes else 4].body
-    at = fallback
+    at = None
     if attributes:
         values = {a.kids[0].oid(): a.kids[1].kids[0] for a in attributes.kids}
         if MESSAGE_DIGEST not in values or not hmac.compare_digest(values[MESSAGE_DIGEST].body, hashlib.new(name, data).digest()):
@@ -183,7 +230,11 @@ def check_cms(cms: bytes, data: bytes, fallback: datetime | None, anchors: list[
         data = b"\x31" + attributes.raw[1:]
     if not rsa_signed(signer, name, data, signature):
         raise BadSignature("the signature does not fit the certificate")
-    at = at or datetime.now()
+    unsigned = next((k for k in parts[5:] if k.tag == 0xA1), None)
+    token = next((a.kids[1].kids[0].raw for a in (unsigned.kids if unsigned else []) if a.kids[0].oid() == TIME_STAMP), None)
+    if at is None and token is not None:
+        at = _stamped(token, signature, anchors)[0]
+    at = at_time or at or fallback or datetime.now()
     trusted(signer, certs, anchors, at)
     return {"certs": [c.row() for c in [signer, *(c for c in certs if c is not signer)]], "verified_at": at}
 
@@ -200,3 +251,112 @@ def check_pkcs1(certs: list[bytes], signature: bytes, data: bytes, at: datetime
     at = at or datetime.now()
     trusted(chain[0], chain[1:], anchors, at)
     return {"certs": [c.row() for c in chain], "verified_at": at}
+
+
+# Private keys: PKCS#12 files and enveloped data.
+PBES2, PBE_3DES = "1.2.840.113549.1.5.13", "1.2.840.113549.1.12.1.3"
+CIPHERS = {"2.16.840.1.101.3.4.1.2": ("aes", 16), "2.16.840.1.101.3.4.1.22": ("aes", 24), "2.16.840.1.101.3.4.1.42": ("aes", 32), "1.2.840.113549.3.7": ("3des", 24)}
+MACS = {"1.2.840.113549.2.7": "sha1", "1.2.840.113549.2.9": "sha256", "1.2.840.113549.2.10": "sha384", "1.2.840.113549.2.11": "sha512"}
+KEY_BAG, SHUT_KEY_BAG, CERT_BAG = "1.2.840.113549.1.12.10.1.1", "1.2.840.113549.1.12.10.1.2", "1.2.840.113549.1.12.10.1.3"
+
+
+class PrivateKey(NamedTuple):
+    modulus: int
+    exponent: int
+
+    def open(self, value: bytes) -> bytes | None:
+        """The message of an RSA value with PKCS#1 v1.5 padding."""
+        size = (self.modulus.bit_length() + 7) // 8
+        n = int.from_bytes(value, "big")
+        m = re.fullmatch(rb"\x00\x02[^\x00]{8,}\x00(.*)", pow(n, self.exponent, self.modulus).to_bytes(size, "big"), re.S) if n < self.modulus else None
+        return m[1] if m else None
+
+
+def _open_with(kind: str, key: bytes, iv: bytes, data: bytes) -> bytes:
+    from .security import cbc_open
+
+    plain = cbc_open(kind, key, iv, data)
+    pad = plain[-1] if plain else 0
+    if not 1 <= pad <= len(iv) or plain[-pad:] != bytes([pad]) * pad:
+        raise BadSignature("wrong password or key")
+    return plain[:-pad]
+
+
+def pkcs12_key(digest: str, password: str, salt: bytes, rounds: int, purpose: int, size: int) -> bytes:
+    """The key derivation of PKCS#12."""
+    block = 128 if digest in ("sha384", "sha512") else 64
+    secret = password.encode("utf-16-be") + b"\0\0"
+    fill = lambda b: (b * (block * -(-len(b) // block) // len(b) + 1))[: block * -(-len(b) // block)] if b else b""
+    start, pool, out = bytes([purpose]) * block, fill(salt) + fill(secret), b""
+    while len(out) < size:
+        a = hashlib.new(digest, start + pool).digest()
+        for _ in range(rounds - 1):
+            a = hashlib.new(digest, a).digest()
+        out += a
+        add = int.from_bytes((a * block)[:block], "big") + 1
+        pool = b"".join(((int.from_bytes(pool[i : i + block], "big") + add) % (1 << 8 * block)).to_bytes(block, "big") for i in range(0, len(pool), block))
+    return out[:size]
+
+
+def _decrypted(algorithm: Node, data: bytes, password: str) -> bytes:
+    name, parameters = algorithm.kids[0].oid(), algorithm.kids[1]
+    if name == PBE_3DES:
+        salt, rounds = parameters.kids[0].body, parameters.kids[1].number()
+        return _open_with("3des", pkcs12_key("sha1", password, salt, rounds, 1, 24), pkcs12_key("sha1", password, salt, rounds, 2, 8), data)
+    if name != PBES2:
+        raise BadSignature(f"key file cipher {name} is not supported")
+    derive, cipher = parameters.kids
+    settings = derive.kids[1].kids
+    digest = next((MACS.get(k.kids[0].oid()) for k in settings[2:] if k.tag == 0x30), "sha1")
+    kind, size = CIPHERS[cipher.kids[0].oid()]
+    return _open_with(kind, hashlib.pbkdf2_hmac(digest, password.encode(), settings[0].body, settings[1].number(), size), cipher.kids[1].body, data)
+
+
+def _private_key(info: bytes) -> PrivateKey:
+    numbers = next(nodes(next(nodes(info)).kids[2].body)).kids
+    return PrivateKey(numbers[1].number(), numbers[3].number())
+
+
+def read_pkcs12(data: bytes, password: str) -> tuple[PrivateKey | None, list[Certificate]]:
+    """The RSA key and the certificates of a PKCS#12 file; a wrong password raises BadSignature."""
+    top = next(nodes(data)).kids
+    safe = next(nodes(top[1].kids[1].body)).body
+    if len(top) > 2:
+        info, salt = top[2].kids[:2]
+        rounds = top[2].kids[2].number() if len(top[2].kids) > 2 else 1
+        digest = DIGESTS.get(info.kids[0].kids[0].oid(), "sha1")
+        size = hashlib.new(digest).digest_size
+        if not hmac.compare_digest(hmac.new(pkcs12_key(digest, password, salt.body, rounds, 3, size), safe, digest).digest(), info.kids[1].body):
+            raise BadSignature("wrong password of the key file")
+    key, certs = None, []
+    for part in next(nodes(safe)).kids:
+        inner = next(nodes(part.kids[1].body))
+        if inner.tag == 0x04:
+            bags = inner.body
+        else:
+            shut = inner.kids[1].kids
+            bags = _decrypted(shut[1], shut[2].body, password)
+        for bag in next(nodes(bags)).kids:
+            kind, value = bag.kids[0].oid(), bag.kids[1].kids[0]
+            if kind == KEY_BAG:
+                key = _private_key(value.raw)
+            elif kind == SHUT_KEY_BAG:
+                key = _private_key(_decrypted(value.kids[0], value.kids[1].body, password))
+            elif kind == CERT_BAG:
+                certs.append(Certificate(value.kids[1].kids[0].body))
+    return key, certs
+
+
+def open_envelope(cms: bytes, key: PrivateKey, certs: list[Certificate]) -> bytes | None:
+    """The content of enveloped data for the recipient that one of ``certs`` names; None if it is for others."""
+    content = next(nodes(cms)).kids[1].kids[0].kids
+    shut = next(k for k in content if k.tag == 0x30).kids
+    for r in next(k for k in content if k.tag == 0x31).kids:
+        if r.tag != 0x30 or r.kids[1].tag != 0x30:
+            continue
+        issuer, serial = r.kids[1].kids
+        if any(c.issuer_raw == issuer.raw and c.serial == serial.number() for c in certs) and (secret := key.open(r.kids[3].body)) is not None:
+            kind, size = CIPHERS.get(shut[1].kids[0].oid(), ("", 0))
+            if len(secret) == size:
+                return _open_with(kind, secret, shut[1].kids[1].body, shut[2].body)
+    return None

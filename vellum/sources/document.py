@@ -6,7 +6,7 @@ import re
 
 from ..functions.filters import UnsupportedFilter, decode
 from ..functions.scalars import page_label, text_string
-from .security import StandardSecurity
+from .security import security_handler
 from .syntax import END, Keyword, Name, Parser, Ref, Stream
 
 OBJECT = re.compile(rb"(?<!\d)(\d+)[\0\t\n\x0c\r ]+(\d+)[\0\t\n\x0c\r ]+obj")
@@ -18,8 +18,8 @@ class BadFile(ValueError):
 
 
 class Document:
-    def __init__(self, data: bytes, passwords: list[str] = ()):
-        m = re.search(rb"%PDF-(\d)\.(\d)", data[:1024])
+    def __init__(self, data: bytes, passwords: list[str] = (), recipient: tuple | None = None):
+        m = re.search(rb"%PDF-(\d)\.(\d)", data)
         if not m:
             raise BadFile("no PDF header")
         self.data, self.start, self.version = data, m.start(), f"{int(m[1])}.{int(m[2])}"
@@ -28,6 +28,8 @@ class Document:
         self.trailer: dict = {}
         self.cache: dict[int, object] = {}
         self.members: dict[int, list] = {}
+        self.fonts: dict[int, tuple] = {}
+        self.named: dict[bytes, object] | None = None
         self.security = None
         self.repaired = False
         try:
@@ -37,13 +39,15 @@ class Document:
         except (BadFile, ValueError, IndexError, KeyError, TypeError):
             self._rebuild()
         if (e := self.trailer.get("Encrypt")) is not None:
-            e = self.get(e)
+            e = self._deep(e)
             ids = self.get(self.trailer.get("ID")) or [b""]
             self.cache.clear()
             self.members.clear()
-            self.security = StandardSecurity(e, ids[0], passwords)
+            self.security = security_handler(e, ids[0], passwords, recipient)
             self.encrypt_ref = self.trailer["Encrypt"]
-        self.root = self.get(self.trailer.get("Root")) or {}
+        self.root = self.get(self.trailer.get("Root"))
+        if not isinstance(self.root, dict):
+            raise BadFile("no catalog")
 
     # Cross-reference data: newest first, the first entry of an object wins.
     def _read_xref(self) -> None:
@@ -209,6 +213,13 @@ class Document:
             v, depth = self.object(v.num), depth + 1
         return None if isinstance(v, Ref) else v
 
+    def _deep(self, v, depth: int = 0):
+        """A value with all references in it replaced."""
+        v = self.get(v)
+        if depth < 8 and isinstance(v, dict):
+            return {k: self._deep(x, depth + 1) for k, x in v.items()}
+        return [self._deep(x, depth + 1) for x in v] if depth < 8 and isinstance(v, list) else v
+
     def filters(self, s: Stream) -> tuple[list[str], list[dict]]:
         names, parms = self.get(s.info.get("Filter", s.info.get("F") if "FFilter" not in s.info else None)), self.get(s.info.get("DecodeParms", s.info.get("DP")))
         names = [names] if isinstance(names, Name) else [self.get(x) for x in names] if isinstance(names, list) else []
@@ -221,10 +232,12 @@ class Document:
 
     # The document.
     def pages(self) -> list[dict]:
-        """Leaves of the page tree in order: num, page, ancestors (nearest first). Cycles and null kids are passed over."""
+        """Leaves of the page tree in order: num, page, ancestors (nearest first). Cycles and null kids are passed over; over MOST_NODES nodes are an error."""
         out, seen = [], set()
         stack = [(self.root.get("Pages"), ())]
-        while stack and len(seen) < MOST_NODES:
+        while stack:
+            if len(seen) > MOST_NODES:
+                raise BadFile("the page tree is too large")
             ref, above = stack.pop()
             node = self.get(ref)
             if not isinstance(node, dict) or (isinstance(ref, Ref) and ref in seen):
@@ -261,10 +274,17 @@ class Document:
         return b"\n".join(out)
 
     def tree(self, node, leaf: str) -> list[tuple]:
-        """The pairs of a number tree (leaf ``Nums``) or name tree (``Names``), in order."""
-        out, stack, n = [], [node], 0
-        while stack and n < MOST_NODES:
-            v, n = self.get(stack.pop()), n + 1
+        """The pairs of a number tree (leaf ``Nums``) or name tree (``Names``), in order. Cycles are passed over; over MOST_NODES nodes are an error."""
+        out, stack, seen, n = [], [node], set(), 0
+        while stack:
+            ref, n = stack.pop(), n + 1
+            if n > MOST_NODES:
+                raise BadFile("a tree is too large")
+            if isinstance(ref, Ref):
+                if ref in seen:
+                    continue
+                seen.add(ref)
+            v = self.get(ref)
             if isinstance(v, dict):
                 own = self.get(v.get(leaf)) or []
                 out += list(zip(own[::2], own[1::2], strict=False))
@@ -301,7 +321,11 @@ class Document:
                 key = str(d) if isinstance(d, Name) else d
                 d = old.get(key if isinstance(key, str) else key.decode("latin-1"))
                 if d is None:
-                    d = next((v for k, v in self.tree((self.get(self.root.get("Names")) or {}).get("Dests"), "Names") if k == (key if isinstance(key, bytes) else key.encode())), None)
+                    if self.named is None:
+                        self.named = {}
+                        for k, v in self.tree((self.get(self.root.get("Names")) or {}).get("Dests"), "Names"):
+                            self.named.setdefault(self.get(k), v)
+                    d = self.named.get(key if isinstance(key, bytes) else key.encode())
             else:
                 break
         if not isinstance(d, list) or not d:
@@ -312,22 +336,22 @@ class Document:
     def outlines(self) -> list[dict]:
         numbers = {p["num"]: i for i, p in enumerate(self.pages(), 1)}
         out, seen = [], set()
-
-        def visit(ref, path: list[int]) -> None:
-            k = 0
-            while isinstance(ref, Ref) and ref not in seen and len(path) < 64 and len(out) < MOST_NODES:
-                seen.add(ref)
-                item, k = self.get(ref) or {}, k + 1
-                action = self.get(item.get("A")) or {}
-                target = item.get("Dest") if item.get("Dest") is not None else action.get("D") if action.get("S") in ("GoTo", "GoToR") else None
-                file = self.get(action.get("F")) if action.get("S") == "GoToR" else None
-                file = self.get(file.get("UF", file.get("F"))) if isinstance(file, dict) else file
-                color = self.get(item.get("C")) or [0, 0, 0]
-                out.append({"path": [*path, k], "title": text_string(self.get(item.get("Title")) or b""), "count": int(self.get(item.get("Count")) or 0), **self.destination(target, numbers), "color": [float(c) for c in color], "flags": int(self.get(item.get("F")) or 0), "filepath": text_string(file) if isinstance(file, bytes) else None})
-                visit(item.get("First"), [*path, k])
-                ref = item.get("Next")
-
-        visit((self.get(self.root.get("Outlines")) or {}).get("First"), [])
+        todo = [((self.get(self.root.get("Outlines")) or {}).get("First"), [], 1)]
+        while todo:
+            ref, above, k = todo.pop()
+            if not isinstance(ref, Ref) or ref in seen:
+                continue
+            if len(out) >= MOST_NODES:
+                raise BadFile("the outline is too large")
+            seen.add(ref)
+            item, path = self.get(ref) or {}, [*above, k]
+            action = self.get(item.get("A")) or {}
+            target = item.get("Dest") if item.get("Dest") is not None else action.get("D") if action.get("S") in ("GoTo", "GoToR") else None
+            file = self.get(action.get("F")) if action.get("S") == "GoToR" else None
+            file = self.get(file.get("UF", file.get("F"))) if isinstance(file, dict) else file
+            color = self.get(item.get("C")) or [0, 0, 0]
+            out.append({"path": path, "title": text_string(self.get(item.get("Title")) or b""), "count": int(self.get(item.get("Count")) or 0), **self.destination(target, numbers), "color": [float(c) for c in color], "flags": int(self.get(item.get("F")) or 0), "filepath": text_string(file) if isinstance(file, bytes) else None})
+            todo += [(item.get("Next"), above, k + 1), (item.get("First"), path, 1)]
         return out
 
     def _file(self, spec) -> tuple[str, bytes] | None:
@@ -362,10 +386,14 @@ class Document:
         numbers = {p["num"]: i for i, p in enumerate(self.pages(), 1)}
         out, seen = [], set()
 
-        def visit(ref, name: str, page, kind, depth: int) -> None:
+        todo = [(f, "", None, None) for f in reversed(self.get(form.get("Fields")) or [])]
+        while todo:
+            ref, name, page, kind = todo.pop()
             f = self.get(ref)
-            if not isinstance(f, dict) or depth > 32 or (isinstance(ref, Ref) and ref in seen):
-                return
+            if not isinstance(f, dict) or (isinstance(ref, Ref) and ref in seen):
+                continue
+            if len(seen) > MOST_NODES:
+                raise BadFile("the form is too large")
             seen.add(ref if isinstance(ref, Ref) else id(f))
             own = text_string(self.get(f.get("T")) or b"")
             name = f"{name}.{own}" if name and own else name or own
@@ -373,11 +401,11 @@ class Document:
             v = self.get(f.get("V"))
             if kind == "Sig" and isinstance(v, dict):
                 spans = self.get(v.get("ByteRange")) or []
-                data = b"".join(self.data[a : a + n] for a, n in zip(spans[::2], spans[1::2], strict=False))
+                data = b"".join(self.byte_range(a, n) for a, n in zip(spans[::2], spans[1::2], strict=False))
                 out.append({"fqt": name, "page_no": numbers.get(page.num) if isinstance(page, Ref) else None, "name": text_string(self.get(v.get("Name")) or b""), "signed_at": text_string(self.get(v.get("M")) or b""), "subfilter": v.get("SubFilter"), "byte_range": spans, "covers_file": bool(spans) and spans[0] == 0 and spans[-2] + spans[-1] == len(self.data), "sha1": hashlib.sha1(data).hexdigest(), "sha256": hashlib.sha256(data).hexdigest(), "contents": self.get(v.get("Contents")) or b"", "signed": data, "cert": self.get(v.get("Cert"))})
-            for k in self.get(f.get("Kids")) or []:
-                visit(k, name, page, kind, depth + 1)
-
-        for f in self.get(form.get("Fields")) or []:
-            visit(f, "", None, None, 0)
+            todo += [(k, name, page, kind) for k in reversed(self.get(f.get("Kids")) or [])]
         return out
+
+    def byte_range(self, start: int, length: int) -> bytes:
+        """Bytes of the file as it lies there, counted from its beginning."""
+        return self.data[max(0, start) : max(0, start) + max(0, length)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from functools import lru_cache
 
@@ -99,8 +100,42 @@ def _decrypt_block(keys: list[bytes], block: bytes) -> bytes:
     return s
 
 
+@lru_cache(maxsize=1)
+def _native():
+    """The AES of the crypto library that Python's hashes come from; None where it cannot be reached."""
+    try:
+        import _hashlib
+
+        lib = ctypes.CDLL(_hashlib.__file__)
+        for name in ("EVP_CIPHER_CTX_new", "EVP_aes_128_cbc", "EVP_aes_192_cbc", "EVP_aes_256_cbc", "EVP_des_ede3_cbc"):
+            getattr(lib, name).restype = ctypes.c_void_p
+        lib.EVP_CIPHER_CTX_free.argtypes = [ctypes.c_void_p]
+        lib.EVP_CIPHER_CTX_set_padding.argtypes = [ctypes.c_void_p, ctypes.c_int]
+        lib.EVP_CipherInit_ex.argtypes = [ctypes.c_void_p, ctypes.c_void_p, ctypes.c_void_p, ctypes.c_char_p, ctypes.c_char_p, ctypes.c_int]
+        lib.EVP_CipherUpdate.argtypes = [ctypes.c_void_p, ctypes.c_char_p, ctypes.POINTER(ctypes.c_int), ctypes.c_char_p, ctypes.c_int]
+    except (ImportError, OSError, AttributeError):
+        return None
+    return lib
+
+
+def _native_cbc(lib, cipher: str, key: bytes, iv: bytes, data: bytes, encrypt: bool) -> bytes | None:
+    made = lib.EVP_CIPHER_CTX_new()
+    try:
+        kind = getattr(lib, f"EVP_{cipher}_cbc")()
+        if not lib.EVP_CipherInit_ex(made, kind, None, key, iv, int(encrypt)):
+            return None
+        lib.EVP_CIPHER_CTX_set_padding(made, 0)
+        out, n = ctypes.create_string_buffer(len(data) + 32), ctypes.c_int(0)
+        return out.raw[: n.value] if lib.EVP_CipherUpdate(made, out, ctypes.byref(n), data, len(data)) else None
+    finally:
+        lib.EVP_CIPHER_CTX_free(made)
+
+
 def aes_cbc(key: bytes, iv: bytes, data: bytes, encrypt: bool) -> bytes:
     """CBC over whole blocks, without padding; a partial last block is left out."""
+    data = data[: len(data) // 16 * 16]
+    if data and len(key) in (16, 24, 32) and len(iv) == 16 and (lib := _native()) is not None and (done := _native_cbc(lib, f"aes_{8 * len(key)}", key, iv, data, encrypt)) is not None:
+        return done
     keys, out = _round_keys(key), []
     for at in range(0, len(data) // 16 * 16, 16):
         block = data[at : at + 16]
@@ -113,6 +148,16 @@ def aes_cbc(key: bytes, iv: bytes, data: bytes, encrypt: bool) -> bytes:
     return b"".join(out)
 
 
+def cbc_open(kind: str, key: bytes, iv: bytes, data: bytes) -> bytes:
+    """CBC decryption by ``aes`` or ``3des``, padding left on; the latter needs the crypto library."""
+    if kind == "aes":
+        return aes_cbc(key, iv, data, False)
+    done = _native_cbc(lib, "des_ede3", key, iv, data, False) if (lib := _native()) is not None else None
+    if done is None:
+        raise ValueError("triple DES is not at hand")
+    return done
+
+
 def aes_open(key: bytes, data: bytes) -> bytes:
     """Data as PDF stores it: the initial vector first, PKCS padding at the end."""
     plain = aes_cbc(key, data[:16], data[16:], False)
@@ -132,21 +177,47 @@ def hash_r6(password: bytes, salt: bytes, user: bytes, revision: int) -> bytes:
             return k[:32]
 
 
-class StandardSecurity:
-    """Opens a document with the first of ``passwords`` (the empty one is tried before them) that fits as user or owner."""
+class Security:
+    """What all handlers share: crypt filters and the decryption of strings and streams with the document's ``key``."""
 
-    def __init__(self, encrypt: dict, first_id: bytes, passwords: list[str] = ()):
-        if encrypt.get("Filter") != "Standard":
-            raise WrongPassword(f"security handler {encrypt.get('Filter')} is not supported")
-        self.v, self.r = int(encrypt.get("V", 0)), int(encrypt.get("R", 2))
+    key: bytes
+    role: str | None
+
+    def __init__(self, encrypt: dict):
+        self.v = int(encrypt.get("V", 0))
+        if self.v < 1 or self.v > 5:
+            raise WrongPassword(f"encryption version {self.v} is not supported")
         self.bits = int(encrypt.get("Length", 40)) if self.v in (2, 3) else 128 if self.v == 4 else 256 if self.v == 5 else 40
-        self.o, self.u, self.p, self.id = encrypt.get("O", b""), encrypt.get("U", b""), int(encrypt.get("P", 0)) & 0xFFFFFFFF, first_id
         self.meta = encrypt.get("EncryptMetadata", True)
         self.filters = encrypt.get("CF", {})
         self.stream_filter = encrypt.get("StmF", "Identity") if self.v >= 4 else "RC4"
         self.string_filter = encrypt.get("StrF", "Identity") if self.v >= 4 else "RC4"
         self.file_filter = encrypt.get("EFF", self.stream_filter)
         self.raw, self.role = encrypt, None
+
+    def method(self, name: str) -> str:
+        if name == "RC4":
+            return "V2"
+        return "None" if name == "Identity" else str(self.filters.get(name, {}).get("CFM", "None"))
+
+    def decrypt(self, data: bytes, num: int, gen: int, name: str) -> bytes:
+        kind = self.method(name)
+        if kind == "None":
+            return data
+        if kind == "AESV3":
+            return aes_open(self.key, data)
+        k = self.key + num.to_bytes(4, "little")[:3] + gen.to_bytes(4, "little")[:2] + (b"sAlT" if kind == "AESV2" else b"")
+        k = hashlib.md5(k).digest()[: min(16, len(self.key) + 5)]
+        return aes_open(k, data) if kind == "AESV2" else rc4(k, data)
+
+
+class StandardSecurity(Security):
+    """Opens a document with the first of ``passwords`` (the empty one is tried before them) that fits as user or owner."""
+
+    def __init__(self, encrypt: dict, first_id: bytes, passwords: list[str] = ()):
+        super().__init__(encrypt)
+        self.r = int(encrypt.get("R", 2))
+        self.o, self.u, self.p, self.id = encrypt.get("O", b""), encrypt.get("U", b""), int(encrypt.get("P", 0)) & 0xFFFFFFFF, first_id
         from ..functions.scalars import pdfdoc_bytes
 
         for password in ["", *passwords]:
@@ -154,6 +225,8 @@ class StandardSecurity:
             for role, key in (("owner", self.as_owner(raw)), ("user", self.as_user(raw))):
                 if key:
                     self.key, self.role = key, role
+                    if self.r >= 5:
+                        self._check_permissions()
                     return
         raise WrongPassword("no password fits")
 
@@ -195,17 +268,44 @@ class StandardSecurity:
             user = rc4(bytes(b ^ i for b in k[:n]), user)
         return self.as_user(user)
 
-    def method(self, name: str) -> str:
-        if name == "RC4":
-            return "V2"
-        return "None" if name == "Identity" else str(self.filters.get(name, {}).get("CFM", "None"))
+    def _check_permissions(self) -> None:
+        """Revision 6 and 5 keep the permissions a second time, encrypted: where these don't agree, the file was changed."""
+        perms = self.raw.get("Perms")
+        if isinstance(perms, bytes) and len(perms) == 16:
+            plain = aes_cbc(self.key, bytes(16), perms, False)  # a single block: as without chaining
+            if plain[9:12] != b"adb" or int.from_bytes(plain[:4], "little") != self.p or plain[8:9] != (b"T" if self.meta else b"F"):
+                raise WrongPassword("the permissions were changed")
+
+
+class PublicKeySecurity(Security):
+    """Opens a document for the recipient whose key and certificates are given: the seed and permissions are in an envelope."""
+
+    def __init__(self, encrypt: dict, key, certs: list):
+        from .certificates import open_envelope
+
+        super().__init__(encrypt)
+        if encrypt.get("SubFilter") not in ("adbe.pkcs7.s3", "adbe.pkcs7.s4", "adbe.pkcs7.s5"):
+            raise WrongPassword(f"public-key format {encrypt.get('SubFilter')} is not supported")
+        own = self.filters.get(self.stream_filter) or self.filters.get(self.string_filter) or {}
+        envelopes = encrypt.get("Recipients") or own.get("Recipients") or []
+        envelopes = envelopes if isinstance(envelopes, list) else [envelopes]
+        self.meta = own.get("EncryptMetadata", self.meta)
+        opened = next((x for e in envelopes if (x := open_envelope(e, key, certs))), None) if key else None
+        if opened is None or len(opened) < 20:
+            raise WrongPassword("no key of a recipient is given")
+        digest = hashlib.sha256 if self.v == 5 else hashlib.sha1
+        made = digest(opened[:20] + b"".join(envelopes) + (b"" if self.meta else b"\xff" * 4)).digest()
+        self.key, self.role, self.p = made[: self.bits // 8], "recipient", int.from_bytes(opened[20:24], "big")
 
-    def decrypt(self, data: bytes, num: int, gen: int, name: str) -> bytes:
-        kind = self.method(name)
-        if kind == "None":
-            return data
-        if kind == "AESV3":
-            return aes_open(self.key, data)
-        k = self.key + num.to_bytes(4, "little")[:3] + gen.to_bytes(4, "little")[:2] + (b"sAlT" if kind == "AESV2" else b"")
-        k = hashlib.md5(k).digest()[: min(16, len(self.key) + 5)]
-        return aes_open(k, data) if kind == "AESV2" else rc4(k, data)
+    @property
+    def permissions(self) -> int:
+        return self.p
+
+
+def security_handler(encrypt: dict, first_id: bytes, passwords: list[str] = (), recipient: tuple | None = None) -> Security:
+    """The handler that an encryption dictionary names. ``recipient`` is (private key, certificates)."""
+    if encrypt.get("Filter") == "Standard":
+        return StandardSecurity(encrypt, first_id, passwords)
+    if str(encrypt.get("SubFilter", "")).startswith("adbe.pkcs7."):
+        return PublicKeySecurity(encrypt, *(recipient or (None, [])))
+    raise WrongPassword(f"security handler {encrypt.get('Filter')} is not supported")
