@@ -11,11 +11,10 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import filters, scalars
-from .operators.fonts import ALL_CAP, BOLD, FIXED, HELVETICA, ITALIC, SMALL_CAP
 from .plans import relational, tables
 from .sources import security, syntax
 from .sources.writer import text_pdf
@@ -170,11 +169,6 @@ def crypt_aes_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", F.col("out").cast("string").alias("url"))
 
 
-def crypt_rc4_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _mapped(_read(spark, sf_dir, "pages"), "page_id", "url", lambda u: security.rc4(b"some key", security.rc4(b"some key", u.encode())))
-    return out.select("page_id", F.col("out").cast("string").alias("url"))
-
-
 def pdf_date_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event times as local PDF dates with a zone from the user, parsed and brought back to UTC."""
     e = _read(spark, sf_dir, "events")
@@ -234,30 +228,6 @@ def inherit_attr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("c_custkey", relational.inherited(own, F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")), F.col("r_name")).alias("value"))
 
 
-def page_tree_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions, nations and customers as a tree, numbered depth first: ordinals per parent, then one order over path keys."""
-    r, n, c = (_read(spark, sf_dir, t) for t in ("region", "nation", "customer"))
-    at = lambda by, o: F.row_number().over(Window.partitionBy(by).orderBy(o))
-    nodes = n.select("n_nationkey", "n_regionkey", at("n_regionkey", "n_nationkey").alias("kid")).join(r.select("r_regionkey"), F.col("n_regionkey") == F.col("r_regionkey"))
-    leaves = c.select("c_custkey", "c_nationkey", at("c_nationkey", "c_custkey").alias("leaf")).join(F.broadcast(nodes), F.col("c_nationkey") == F.col("n_nationkey"))
-    counts = leaves.groupBy("n_regionkey", "kid").agg(F.count("*").alias("n"))
-    before = counts.select("n_regionkey", "kid", F.coalesce(F.sum("n").over(Window.orderBy("n_regionkey", "kid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return leaves.join(F.broadcast(before), ["n_regionkey", "kid"]).select("c_custkey", F.concat_ws("/", F.col("n_regionkey") + 1, "kid", "leaf").alias("path"), (F.col("before") + F.col("leaf")).cast("long").alias("page_no"))
-
-
-def outline_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for regions and nations by a recursive query."""
-    _read(spark, sf_dir, "region").createOrReplaceTempView("_outline_region")
-    _read(spark, sf_dir, "nation").createOrReplaceTempView("_outline_nation")
-    return spark.sql(
-        """WITH RECURSIVE items AS (SELECT CAST(r_regionkey AS BIGINT) AS id, CAST(NULL AS BIGINT) AS up, r_name AS title FROM _outline_region
-             UNION ALL SELECT 1000 + n_nationkey, CAST(n_regionkey AS BIGINT), n_name FROM _outline_nation),
-           walk AS (SELECT id, title, 1 AS depth, title AS path FROM items WHERE up IS NULL
-             UNION ALL SELECT i.id, i.title, w.depth + 1, concat(w.path, '/', i.title) FROM walk w JOIN items i ON i.up = w.id)
-           SELECT id, depth, path FROM walk"""
-    )
-
-
 BANDS = ((1, 9, "S"), (10, 19, "M"), (25, 39, "L"))
 
 
@@ -267,71 +237,19 @@ def cmap_range_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.in_range(parts, bands, "p_size", "lo", "hi", {"name": F.lit("none")}).select("p_partkey", "p_size", "name")
 
 
-def kern_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chars = _read(spark, sf_dir, "part").select(F.posexplode(F.split("p_name", "")).alias("i", "ch"), "p_partkey").where("ch <> ''")
-    prev = F.lag("ch").over(Window.partitionBy("p_partkey").orderBy("i"))
-    return chars.withColumn("prev", prev).where("prev is not null").groupBy("prev", "ch").agg(F.count("*").alias("n"))
-
-
-def string_width(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summed Helvetica widths of names at twelve points, from an array of widths by code."""
-    widths = F.array(*[F.lit(int(w)) for w in HELVETICA.split()])
-    codes = F.transform(F.filter(F.split("p_name", ""), lambda c: c != ""), lambda c: F.coalesce(F.get(widths, F.ascii(c) - 32), F.lit(1000)))
-    return _read(spark, sf_dir, "part").select("p_partkey", F.round(F.aggregate(codes, F.lit(0), lambda a, x: a + x) * 12 / 1000, 6).alias("width"))
-
-
 def height_profile_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "lineitem").select("l_suppkey", F.round(F.col("l_quantity") * 10).cast("long").alias("height"), F.col("l_linenumber").cast("long").alias("n"))
     return relational.mode_by(rows, ["l_suppkey"], "height", "n")
 
 
-def affine_box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = [F.col("embedding")[i].cast("double") for i in range(6)]
-    x, y = e[0] * 10 + e[2] * 12 + e[4], e[1] * 10 + e[3] * 12 + e[5]
-    return _read(spark, sf_dir, "embeddings").select("vec_id", F.round(x, 6).alias("rtx"), F.round(y, 6).alias("rty"), F.round(F.sqrt(e[0] * e[0] + e[1] * e[1]) * 10, 6).alias("width"))
-
-
-def font_flag_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flags = F.col("o_orderkey") * 7919 * 65537
-    return _read(spark, sf_dir, "orders").select("o_orderkey", *[(flags.bitwiseAND(F.lit(bit)) != 0).alias(n) for n, bit in (("bold", BOLD), ("italic", ITALIC), ("fixed", FIXED), ("allcap", ALL_CAP), ("smallcap", SMALL_CAP))])
-
-
-def info_dict_skip_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of the events' property dictionaries whose value reads as a number; others are dropped."""
-    e = _read(spark, sf_dir, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "text"))
-    return e.select("event_id", "key", F.col("text").try_cast("double").alias("number")).where("number is not null")
-
-
 def cert_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _read(spark, sf_dir, "documents").select("source", "lang", F.col("doc_id").alias("rev"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
     return relational.newest_wins(d, ["source", "lang"], "rev")
 
 
-def byte_range_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest of everything but eight bytes in the middle, as a signature covers a file."""
-    raw = F.col("url").cast("binary")
-    signed = F.concat(F.substring(raw, 1, 8), F.substring(raw, F.lit(17), F.length(raw)))
-    return _read(spark, sf_dir, "pages").select("page_id", F.sha2(signed, 256).alias("sha256"))
-
-
-def layout_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reading order of line items as boxes: lines by rounded height within an order, then left to right."""
-    rows = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.floor(F.col("l_extendedprice") / 10000).alias("line"), "l_quantity")
-    w = Window.partitionBy("l_orderkey").orderBy(F.desc("line"), "l_quantity", "l_linenumber")
-    return rows.select("l_orderkey", "l_linenumber", F.row_number().over(w).cast("long").alias("seq"))
-
-
-def tj_space_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a space goes between two shown strings: more than 180 thousandths to the right, and none there yet."""
-    rows = _read(spark, sf_dir, "lineitem")
-    gap = F.round(F.col("l_discount") * 3000).cast("int")
-    text = F.concat("l_returnflag", F.when((gap > 180) & (F.col("l_linestatus") != " "), " ").otherwise(""), "l_linestatus")
-    return rows.select("l_orderkey", "l_linenumber", text.alias("text"))
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {n: _filter_query(f) for n, f in FILTER_QUERIES.items()}
-    own = (doc_text_roundtrip, doc_page_count, content_op_stats, filter_chain_roundtrip, string_syntax_roundtrip, text_string_roundtrip, crypt_aes_roundtrip, crypt_rc4_roundtrip, pdf_date_events, date_partial_default, page_label_numerals, page_label_asof, xref_newest_wins, resolve_refs, inherit_attr, page_tree_walk, outline_walk, cmap_range_lookup, kern_pair, string_width, height_profile_mode, affine_box, font_flag_bits, info_dict_skip_bad, cert_dedup, byte_range_digest, layout_sort, tj_space_rule)
+    own = (doc_text_roundtrip, doc_page_count, content_op_stats, filter_chain_roundtrip, string_syntax_roundtrip, text_string_roundtrip, crypt_aes_roundtrip, pdf_date_events, date_partial_default, page_label_numerals, page_label_asof, xref_newest_wins, resolve_refs, inherit_attr, cmap_range_lookup, height_profile_mode, cert_dedup)
     return {f.__name__: f for f in own} | out
 
 
@@ -349,7 +267,6 @@ def oracle_sql() -> dict[str, str]:
         "doc_page_count": f"SELECT doc_id, CAST(ceil({LINES} / 40.0) AS BIGINT) AS page_count, CAST(ceil({LINES} / 40.0) AS BIGINT) AS pages FROM documents",
         "content_op_stats": f"SELECT doc_id, CAST({LINES} AS BIGINT) AS n_show, CAST({LINES} AS BIGINT) AS n_next, CAST(ceil({LINES} / 40.0) AS BIGINT) AS n_begin, CAST(ceil({LINES} / 40.0) AS BIGINT) AS n_font FROM documents",
         "crypt_aes_roundtrip": "SELECT page_id, url FROM pages",
-        "crypt_rc4_roundtrip": "SELECT page_id, url FROM pages",
         "pdf_date_events": f"SELECT event_id, 'D:' || strftime(date_trunc('second', ts) + to_minutes(CAST({MINUTES} AS INT)), '%Y%m%d%H%M%S') || CASE WHEN {MINUTES} < 0 THEN '-' ELSE '+' END || printf('%02d', CAST(abs({MINUTES}) // 60 AS INT)) || '''' || printf('%02d', CAST(abs({MINUTES}) % 60 AS INT)) AS d, CAST(date_trunc('second', ts) AS TIMESTAMP) AS utc FROM events",
         "date_partial_default": "SELECT o_orderkey, CAST(CASE o_orderkey % 6 WHEN 0 THEN date_trunc('year', o_orderdate) WHEN 1 THEN date_trunc('month', o_orderdate) WHEN 2 THEN date_trunc('day', o_orderdate) WHEN 3 THEN date_trunc('hour', o_orderdate) WHEN 4 THEN date_trunc('minute', o_orderdate) ELSE date_trunc('second', o_orderdate) END AS TIMESTAMP) AS local, CAST(0 AS INT) AS minutes FROM orders",
         "page_label_numerals": f"SELECT o_orderkey, 'p-' || CASE o_custkey % 5 WHEN 0 THEN CAST({N} AS VARCHAR) WHEN 1 THEN upper({_roman_sql(N)}) WHEN 2 THEN {_roman_sql(N)} WHEN 3 THEN upper({ALPHA}) ELSE {ALPHA} END AS label FROM orders",
@@ -357,17 +274,7 @@ def oracle_sql() -> dict[str, str]:
         "xref_newest_wins": "SELECT user_id, event_type, -max(event_id) AS rev, arg_max(value, event_id) AS value FROM events GROUP BY user_id, event_type",
         "resolve_refs": "SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey",
         "inherit_attr": "SELECT c_custkey, coalesce(CASE WHEN c_acctbal > 5000 THEN c_name END, CASE WHEN n_nationkey % 2 = 0 THEN n_name END, r_name) AS value FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey",
-        "page_tree_walk": "WITH n AS (SELECT n_nationkey, n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS kid FROM nation JOIN region ON n_regionkey = r_regionkey), c AS (SELECT c_custkey, n_regionkey, kid, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS leaf FROM customer JOIN n ON c_nationkey = n_nationkey) SELECT c_custkey, concat_ws('/', n_regionkey + 1, kid, leaf) AS path, row_number() OVER (ORDER BY n_regionkey, kid, leaf) AS page_no FROM c",
-        "outline_walk": "SELECT CAST(r_regionkey AS BIGINT) AS id, 1 AS depth, r_name AS path FROM region UNION ALL SELECT 1000 + CAST(n_nationkey AS BIGINT), 2, r_name || '/' || n_name FROM nation JOIN region ON n_regionkey = r_regionkey",
         "cmap_range_lookup": "SELECT p_partkey, p_size, coalesce(name, 'none') AS name FROM part LEFT JOIN (VALUES (1, 9, 'S'), (10, 19, 'M'), (25, 39, 'L')) b(lo, hi, name) ON p_size BETWEEN lo AND hi",
-        "kern_pair": "WITH c AS (SELECT p_name, unnest(range(2, length(p_name) + 1)) AS i FROM part) SELECT substr(p_name, i - 1, 1) AS prev, substr(p_name, i, 1) AS ch, count(*) AS n FROM c GROUP BY ALL",
-        "string_width": f"SELECT p_partkey, round(list_sum(list_transform(range(1, length(p_name) + 1), lambda i: coalesce([{', '.join(HELVETICA.split())}][ascii(substr(p_name, i, 1)) - 31], 1000))) * 12 / 1000.0, 6) AS width FROM part",
         "height_profile_mode": "WITH s AS (SELECT l_suppkey, CAST(round(l_quantity * 10) AS BIGINT) AS height, CAST(sum(l_linenumber) AS BIGINT) AS weight FROM lineitem GROUP BY ALL) SELECT l_suppkey, height, weight FROM s QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY weight DESC, height) = 1",
-        "affine_box": "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS m FROM embeddings) SELECT vec_id, round(m[1] * 10 + m[3] * 12 + m[5], 6) AS rtx, round(m[2] * 10 + m[4] * 12 + m[6], 6) AS rty, round(sqrt(m[1] * m[1] + m[2] * m[2]) * 10, 6) AS width FROM e",
-        "font_flag_bits": f"WITH f AS (SELECT o_orderkey, o_orderkey * 7919 * 65537 AS f FROM orders) SELECT o_orderkey, f & {BOLD} <> 0 AS bold, f & {ITALIC} <> 0 AS italic, f & {FIXED} <> 0 AS fixed, f & {ALL_CAP} <> 0 AS allcap, f & {SMALL_CAP} <> 0 AS smallcap FROM f",
-        "info_dict_skip_bad": "SELECT event_id, j.key, TRY_CAST(j.value ->> '$' AS DOUBLE) AS number FROM events, json_each(props) j WHERE TRY_CAST(j.value ->> '$' AS DOUBLE) IS NOT NULL",
         "cert_dedup": "SELECT source, lang, min(doc_id) AS rev, md5(coalesce(arg_min(text, doc_id), '')) AS text_md5 FROM documents GROUP BY source, lang",
-        "byte_range_digest": "SELECT page_id, sha256(substr(url, 1, 8) || substr(url, 17)) AS sha256 FROM pages",
-        "layout_sort": "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY floor(l_extendedprice / 10000) DESC, l_quantity, l_linenumber) AS seq FROM lineitem",
-        "tj_space_rule": "SELECT l_orderkey, l_linenumber, l_returnflag || CASE WHEN round(l_discount * 3000) > 180 AND l_linestatus <> ' ' THEN ' ' ELSE '' END || l_linestatus AS text FROM lineitem",
     }
