@@ -14,7 +14,7 @@ from .operators.fonts import kern, read_afm
 from .plans import tables
 from .sources.certificates import Certificate, asn1_time, nodes
 from .sources.syntax import Name, Ref, Stream
-from .sources.writer import COURIER, Encryption, RawBody, Writer, certificate, der, fixture_key, flate, literal, pages_pdf, pem, rsa_sign, signed_data, signed_pdf, text_pdf, time_stamp, utf16
+from .sources.writer import COURIER, Encryption, RawBody, RecipientEncryption, Writer, certificate, der, fixture_key, flate, key_file, literal, pages_pdf, pem, rsa_sign, signed_data, signed_pdf, text_pdf, time_stamp, utf16
 
 SHA1 = "1.3.14.3.2.26"
 
@@ -32,7 +32,8 @@ def _built(rows: DataFrame, key: str, build: Callable[[dict], bytes]) -> DataFra
                 some = b.slice(at, 200).to_pylist()
                 yield pa.RecordBatch.from_arrays([pa.array([str(r[key]) for r in some]), pa.array([build(r) for r in some], pa.binary())], names=["path", "content"])
 
-    return rows.mapInArrow(run, "path string, content binary")
+    # The test tables are single row groups, which one task would read.
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "path string, content binary")
 
 
 def _key(name: str) -> Column:
@@ -166,13 +167,16 @@ def graphics_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text positions under saved states, matrices and all positioning operators."""
 
     def build(r: dict) -> bytes:
-        n, q = r["l_linenumber"], int(r["l_quantity"])
-        content = f"q {1 + n % 3} 0 0 2 {q} {n} cm q 9 0 0 9 9 9 cm Q BT /F1 10 Tf 12 TL {1 + q % 2} 0 0 2 {n} {q} Tm {q} {n} Td (x) Tj T* (y) Tj {q} {n} TD (z) Tj (w) ' 3 1 (v) \" ET Q BT /F1 10 Tf 5 5 Td (u) Tj ET"
+        content = ""
+        for x in r["items"]:
+            n, q = x["n"], int(x["q"])
+            content += f"q {1 + n % 3} 0 0 2 {q} {n} cm q 9 0 0 9 9 9 cm Q BT /F1 10 Tf 12 TL {1 + q % 2} 0 0 2 {n} {q} Tm {q} {n} Td (x{n}) Tj T* (y{n}) Tj {q} {n} TD (z{n}) Tj (w{n}) ' 3 1 (v{n}) \" ET Q BT /F1 10 Tf 5 5 Td (u{n}) Tj ET\n"
         return pages_pdf([content.encode()])
 
-    rows = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("l_quantity")).withColumn("id", F.col("l_orderkey") * 100 + F.col("l_linenumber"))
-    runs = tables.text_runs(_built(rows, "id", build))
-    return runs.select(_key("id"), "text", F.round("lbx").cast("long").alias("x"), F.round("lby").cast("long").alias("y"))
+    rows = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"))
+    orders = rows.groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), "q")).alias("items"))
+    runs = tables.text_runs(_built(orders, "l_orderkey", build))
+    return runs.select(_key("l_orderkey"), "text", F.round("lbx").cast("long").alias("x"), F.round("lby").cast("long").alias("y"))
 
 
 def forms_and_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,8 +249,8 @@ def page_tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 LAYOUTS = (("XYZ", (1, None, 3)), ("Fit", ()), ("FitH", (5,)), ("FitV", (6,)), ("FitR", (1, 2, 3, 4)), ("FitB", ()), ("FitBH", (7,)), ("FitBV", (8,)))
 
 
-def outline_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions with their nations as outline items, which point to pages in every layout, by name, by action or to another file."""
+def _outlined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions as files, with their nations as outline items."""
 
     def build(r: dict) -> bytes:
         w = Writer()
@@ -280,11 +284,41 @@ def outline_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     nation = F.struct(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))
     regions = _read(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.collect_list(nation).alias("nations")).join(_read(spark, sf_dir, "region"), "r_regionkey")
-    o = tables.outlines(_built(regions, "r_regionkey", build))
+    return _built(regions, "r_regionkey", build)
+
+
+def outline_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outline items that point to pages in every layout, by name, by action or to another file."""
+    o = tables.outlines(_outlined(spark, sf_dir))
     values = F.array_join(F.transform("values", lambda v: v.cast("int").cast("string")), ",")
     return o.select(_key("r_regionkey"), F.array_join("path_ids", ".").alias("place"), "title", "count", F.coalesce("dest_page", F.lit(-1)).alias("dest_page"), "layout", values.alias("vals"), F.round(F.col("color")[1].cast("double"), 1).alias("green"), "flags", F.coalesce("filepath", F.lit("-")).alias("filepath"))
 
 
+def named_destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names of the same files, from the name tree and from the older dictionary."""
+    n = tables.names(_outlined(spark, sf_dir))
+    return n.select(_key("r_regionkey"), "tree", "name", F.regexp_extract("value", r"R /(\w+)", 1).alias("layout"))
+
+
+def document_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' numbers as marks of the catalog: tagging, labels, signatures; with the version and what lies before the header."""
+
+    def build(r: dict) -> bytes:
+        k = r["s_suppkey"]
+        extra = {}
+        if k % 3:
+            extra["MarkInfo"] = {"Marked": True, **({"Suspects": True} if k % 3 == 2 else {})}
+        if k % 4 == 0:
+            extra["PageLabels"] = {"Nums": [0, {"S": Name("D")}]}
+        if k % 5 < 2:
+            extra["AcroForm"] = {"SigFlags": 3 if k % 5 == 1 else 2, "Fields": []}
+        pdf = pages_pdf([b""] * (k % 4), catalog=extra, kind=("table", "stream")[k % 2], junk=b"x" * (k % 50) + b"\n", trailer={"ID": [b"%d" % k, b""]})
+        return pdf.replace(b"/Count %d" % (k % 4), b"/Count 9", 1) if k % 2 == 0 else pdf
+
+    d = tables.documents(_built(_read(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey", build))
+    return d.select(_key("s_suppkey"), "version", "page_count", "pages", "tagged", "has_signature", "has_labels", "repaired", "header_offset", F.col("ids")[0].alias("first_id"))
+
+
 def info_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as information dictionaries: texts in each encoding, dates with zones, and bad dates, which are left out."""
 
@@ -448,6 +482,25 @@ def encrypted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.join(texts, "path", "left").select(_key("page_id"), "failed", F.coalesce("encrypted", F.lit(False)).alias("encrypted"), F.coalesce("permissions", F.lit(-1)).alias("permissions"), "title", "text")
 
 
+def recipient_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names encrypted to the holders of certificates, opened with a key file; those meant for another stay shut."""
+    mine, other = fixture_key(3), fixture_key(4)
+    own, foreign = certificate("Reader", mine, "Reader", mine, False, 8), certificate("Other", other, "Other", other, False, 9)
+
+    def build(r: dict) -> bytes:
+        k = r["s_suppkey"]
+        to = ([own], [foreign, own], [foreign])[k % 3]
+        w = Writer()
+        info = w.add({"Title": utf16(r["s_name"])})
+        return pages_pdf([b"BT /F1 12 Tf 72 700 Td " + literal(r["s_name"].encode()) + b" Tj ET"], writer=w, trailer={"Info": info}, encryption=RecipientEncryption(to, (128, 256)[k % 2]))
+
+    files, keys = _built(_read(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_suppkey", build), [tables.KeyFile(key_file(mine, own), "")]
+    docs = tables.documents(files, keys).select("path", F.coalesce("permissions", F.lit(-1)).alias("permissions"), F.col("error").isNull().alias("opened"))
+    titles = tables.info(files, keys).where("key = 'Title'").select("path", F.col("text").alias("title"))
+    texts = tables.page_text(files, keys).where("error is null").select("path", F.trim("text").alias("text"))
+    return docs.join(titles, "path", "left").join(texts, "path", "left").select(_key("s_suppkey"), "permissions", "opened", "title", "text")
+
+
 def signature_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' names signed in each format, some changed afterwards, some by a signer whose issuer is no authority, expired or not trusted."""
     root, middle, me, stranger = (fixture_key(i) for i in range(1, 5))
@@ -535,7 +588,7 @@ def asn1_time_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (damaged_files, revision_files, filter_variants, painted_lines, shown_strings, graphics_states, forms_and_marks, operator_groups, page_tree_files, outline_files, info_files, font_files, string_widths, encoded_text, kern_pairs, object_dump, attached_files, encrypted_files, signature_files, signer_certificates, hex_text_parts, date_print_events, asn1_time_events)
+    own = (damaged_files, revision_files, filter_variants, painted_lines, shown_strings, graphics_states, forms_and_marks, operator_groups, page_tree_files, outline_files, info_files, font_files, string_widths, encoded_text, kern_pairs, object_dump, attached_files, named_destinations, document_flags, encrypted_files, recipient_files, signature_files, signer_certificates, hex_text_parts, date_print_events, asn1_time_events)
     return {f.__name__: f for f in own}
 
 
@@ -571,11 +624,14 @@ def oracle_sql() -> dict[str, str]:
         "filter_variants": DIGEST,
         "painted_lines": "SELECT l_orderkey, string_agg(l_returnflag || l_linestatus || l_linenumber, '' ORDER BY floor(l_extendedprice / 10000), l_quantity, l_linenumber, l_returnflag || l_linestatus || l_linenumber) AS text FROM lineitem GROUP BY l_orderkey",
         "shown_strings": "WITH x AS (SELECT *, CAST(round(l_discount * -3000) AS INT) AS gap, CAST(l_quantity AS INT) AS q FROM lineitem), y AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, q, l_returnflag, l_linestatus, gap) - 1 AS INT) AS seq, CASE WHEN q % 2 = 0 THEN 100 ELSE 200 END AS tz FROM x) SELECT l_orderkey, seq, l_returnflag || CASE WHEN -gap > 180 THEN ' ' ELSE '' END || l_linestatus || ' o' AS text, CAST(round(((2400 - gap) * (8 + l_linenumber) / 1000.0 + 3 * (q % 4) + q % 7) * tz * 10) AS BIGINT) AS width, CAST(700 - 20 * seq AS BIGINT) AS y FROM y",
-        "graphics_states": "WITH r AS (SELECT l_orderkey * 100 + l_linenumber AS id, l_linenumber AS n, CAST(min(l_quantity) AS INT) AS q FROM lineitem GROUP BY l_orderkey, l_linenumber), p AS (SELECT *, unnest([{t: 'x', k: 1, y: 2 * n + q}, {t: 'y', k: 1, y: 2 * n + q - 24}, {t: 'z', k: 2, y: 4 * n + q - 24}, {t: 'w', k: 2, y: 6 * n + q - 24}, {t: 'v', k: 2, y: 8 * n + q - 24}]) AS s FROM r) SELECT id, s.t AS text, CAST((s.k * q * (1 + q % 2) + n) * (1 + n % 3) + q AS BIGINT) AS x, CAST(s.y * 2 + n AS BIGINT) AS y FROM p UNION ALL SELECT id, 'u', 5, 5 FROM r",
+        "graphics_states": "WITH r AS (SELECT l_orderkey, l_linenumber AS n, CAST(min(l_quantity) AS INT) AS q FROM lineitem GROUP BY l_orderkey, l_linenumber), p AS (SELECT *, unnest([{t: 'x', k: 1, y: 2 * n + q}, {t: 'y', k: 1, y: 2 * n + q - 24}, {t: 'z', k: 2, y: 4 * n + q - 24}, {t: 'w', k: 2, y: 6 * n + q - 24}, {t: 'v', k: 2, y: 8 * n + q - 24}]) AS s FROM r) SELECT l_orderkey, s.t || n AS text, CAST((s.k * q * (1 + q % 2) + n) * (1 + n % 3) + q AS BIGINT) AS x, CAST(s.y * 2 + n AS BIGINT) AS y FROM p UNION ALL SELECT l_orderkey, 'u' || n, 5, 5 FROM r",
         "forms_and_marks": "WITH r AS (SELECT c_custkey, unnest([{seq: 0, text: c_name, x: 7, y: 8}, {seq: 1, text: 'form', x: 48, y: 84}, {seq: 2, text: c_mktsegment, x: 66, y: 108}, {seq: 3, text: 'end', x: 9, y: 9}]) AS s FROM customer) SELECT c_custkey, CAST(s.seq AS INT) AS seq, s.text AS text, CAST(s.x AS BIGINT) AS x, CAST(s.y AS BIGINT) AS y FROM r",
         "operator_groups": f"SELECT s_suppkey, CAST(seq AS INT) AS seq, op, CAST(depth AS INT) AS depth, CAST(parent AS INT) AS parent, CASE seq WHEN 4 THEN '[<' || upper(hex(s_name)) || '> -5 <62>]' WHEN 14 THEN s_suppkey || '|' || s_nationkey ELSE operands END AS operands FROM supplier, (VALUES {ops}) o(seq, op, depth, parent, operands)",
         "page_tree_files": f"WITH p AS (SELECT *, {number} AS page_no, CASE WHEN o_orderstatus = 'F' THEN 700 ELSE 600 END AS media FROM orders) SELECT o_custkey, CAST(page_no AS INT) AS page_no, CASE WHEN page_no <= 3 THEN CAST(page_no AS VARCHAR) WHEN page_no <= 6 THEN 'p-' || {_roman('page_no + 1')} ELSE 'x' END AS label, CAST(media AS INT) AS media, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 100 + o_orderkey % 7 ELSE media END AS INT) AS crop, CAST(CASE WHEN o_orderstatus = 'F' THEN 90 ELSE 0 END AS INT) AS rotate, o_orderkey % 5 = 0 AS is_empty, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderpriority END AS text FROM p",
         "outline_files": f"WITH n AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i FROM nation) SELECT CAST(n_regionkey AS BIGINT) AS r_regionkey, '1.' || i AS place, n_name AS title, CAST(0 AS INT) AS count, CAST(CASE WHEN n_nationkey % 5 = 4 THEN 8 ELSE i END AS INT) AS dest_page, {layout}[n_nationkey % 8 + 1] AS layout, {values}[n_nationkey % 8 + 1] AS vals, CAST(CASE WHEN n_nationkey % 5 = 0 THEN 0.5 ELSE 0 END AS DOUBLE) AS green, CAST(n_nationkey % 4 AS INT) AS flags, CASE WHEN n_nationkey % 5 = 4 THEN 'other.pdf' ELSE '-' END AS filepath FROM n UNION ALL SELECT CAST(r_regionkey AS BIGINT), '1', r_name, CAST(-count(*) AS INT), 1, 'Fit', '', 0, 0, '-' FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name",
+        "named_destinations": f"SELECT CAST(n_regionkey AS BIGINT) AS r_regionkey, 'Dests' AS tree, CASE WHEN n_nationkey % 5 = 2 THEN 'n' || printf('%03d', n_nationkey) ELSE 'o' || n_nationkey END AS name, {layout}[n_nationkey % 8 + 1] AS layout FROM nation WHERE n_nationkey % 5 IN (2, 3)",
+        "document_flags": "SELECT s_suppkey, '1.5' AS version, CAST(CASE WHEN s_suppkey % 2 = 0 THEN 9 ELSE s_suppkey % 4 END AS BIGINT) AS page_count, CAST(s_suppkey % 4 AS BIGINT) AS pages, ['none', 'tagged', 'suspect'][s_suppkey % 3 + 1] AS tagged, s_suppkey % 5 = 1 AS has_signature, s_suppkey % 4 = 0 AS has_labels, false AS repaired, CAST(s_suppkey % 50 + 1 AS BIGINT) AS header_offset, lower(hex(CAST(s_suppkey AS VARCHAR))) AS first_id FROM supplier",
+        "recipient_files": "SELECT s_suppkey, CAST(CASE WHEN s_suppkey % 3 < 2 THEN 4294963396 ELSE -1 END AS BIGINT) AS permissions, s_suppkey % 3 < 2 AS opened, CASE WHEN s_suppkey % 3 < 2 THEN s_name END AS title, CASE WHEN s_suppkey % 3 < 2 THEN s_name END AS text FROM supplier",
         "info_files": "SELECT event_id, 'Title' AS key, 'é ' || event_type || ' ' || chr(128512) AS text, CAST(NULL AS TIMESTAMP) AS utc FROM events UNION ALL SELECT event_id, 'Author', 'user ' || user_id, NULL FROM events UNION ALL SELECT event_id, 'Trapped', 'True', NULL FROM events UNION ALL SELECT event_id, 'Count', CAST(event_id AS VARCHAR), NULL FROM events UNION ALL SELECT event_id, 'CreationDate', NULL, date_trunc('second', ts) + INTERVAL 330 MINUTE FROM events UNION ALL SELECT event_id, 'ModDate', NULL, date_trunc('second', ts) FROM events WHERE event_id % 3 <> 0",
         "font_files": "WITH f AS (SELECT o_orderkey AS k, o_orderkey * 7919 % 524288 AS g FROM orders) SELECT k AS o_orderkey, 'F1' AS resource, 'ABCDEF+Font' || k AS name, 'TrueType' AS subtype, k % 5 = 0 OR k % 7 = 0 AS is_bold, g & 64 <> 0 AS is_italic, g & 1 <> 0 AS is_fixed, g & 65536 <> 0 AS is_all_cap, g & 131072 <> 0 AS is_small_cap, CAST(CASE WHEN k % 900 = 0 THEN -1 ELSE k % 900 END AS INT) AS width_a, CAST(1000 AS INT) AS missing FROM f UNION ALL SELECT k, 'F2', 'Courier-Oblique', 'Type1', false, true, true, false, false, -1, 600 FROM f",
         "string_widths": f"WITH c AS (SELECT p_partkey, p_partkey % 8 AS k, unnest(list_transform(range(1, length(p_name) + 1), lambda i: ascii(substr(p_name, i, 1)))) AS c FROM part) SELECT p_partkey, CAST(sum(CASE k {core} WHEN 6 THEN 100 + 5 * (c - 32) ELSE CASE WHEN c BETWEEN 97 AND 99 THEN c + 304 WHEN c BETWEEN 100 AND 110 THEN 500 ELSE 300 END END) AS BIGINT) AS width FROM c GROUP BY p_partkey",

@@ -30,11 +30,24 @@ def as_of(rows: DataFrame, ranges: DataFrame, by: list[str], at: str, start: str
     return both.select(*rows.columns, *[F.col(f"_last.{c}").alias(c) for c in (start, *values)])
 
 
+MOST_COPIES = 10_000_000
+
+
 def in_range(rows: DataFrame, ranges: DataFrame, code: str, lo: str, hi: str, default: dict[str, Column], by: list[str] = ()) -> DataFrame:
-    """Each row with the values of the disjoint range that holds its code, or the defaults: an as-of join and an upper bound."""
+    """Each row with the values of the disjoint range that holds its code, or the defaults: an as-of join and an upper bound.
+
+    Without keys rows are spread by a hash of the code over all shuffle partitions, with a copy of the ranges for each;
+    where that would be more than MOST_COPIES, by quantiles of the ranges' starts, and a range goes where it reaches.
+    """
     keys = list(by) or ["_all"]
     if not by:
-        rows, ranges = rows.withColumn("_all", F.pmod(F.xxhash64(code), F.lit(16)).cast("int")), ranges.withColumn("_all", F.explode(F.expr("sequence(0, 15)")))
+        n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        if ranges.count() * n <= MOST_COPIES:
+            rows, ranges = rows.withColumn("_all", F.pmod(F.xxhash64(code), F.lit(n)).cast("int")), ranges.withColumn("_all", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        else:
+            bounds = F.array(*map(F.lit, sorted(set(ranges.approxQuantile(lo, [i / n for i in range(1, n)], 0.25 / n)))))
+            part = lambda c: F.size(F.filter(bounds, lambda x: x <= c))
+            rows, ranges = rows.withColumn("_all", part(F.col(code))), ranges.withColumn("_all", F.explode(F.sequence(part(F.col(lo)), part(F.col(hi)))))
     out = as_of(rows, ranges, keys, code, lo, [hi, *default])
     inside = F.col(code) <= F.col(hi)
     return out.select(*[c for c in rows.columns if c != "_all"], *[F.when(inside, F.col(c)).otherwise(d).alias(c) for c, d in default.items()])

@@ -116,6 +116,29 @@ def edges(files: DataFrame, passwords: list[str] = ()) -> DataFrame:
     return _table(files, "from_num long, key string, to_num long, to_gen long", rows, list(passwords))
 
 
+def catalog(files: DataFrame, passwords: list[str] = ()) -> DataFrame:
+    """The entries of each document's catalog in PDF syntax."""
+    return _table(files, "entries map<string,string>", lambda d: iter([{"entries": [(k, show(v)) for k, v in d.root.items()]}]), list(passwords))
+
+
+def names(files: DataFrame, passwords: list[str] = ()) -> DataFrame:
+    """Every entry of the catalog's name trees, and of its dictionary of destinations: tree, name, value in PDF syntax."""
+
+    def rows(d: Document):
+        for tree, node in (d.get(d.root.get("Names")) or {}).items():
+            for k, v in d.tree(node, "Names"):
+                yield {"tree": tree, "name": text_string(d.get(k) or b""), "value": show(d.get(v))}
+        for k, v in (d.get(d.root.get("Dests")) or {}).items():
+            yield {"tree": "Dests", "name": k, "value": show(d.get(v))}
+
+    return _table(files, "tree string, name string, value string", rows, list(passwords))
+
+
+def page_contents(files: DataFrame, passwords: list[str] = ()) -> DataFrame:
+    """page_no and the decoded content of every page."""
+    return _table(files, "page_no int, content binary", lambda d: ({"page_no": i, "content": d.contents(p)} for i, p in enumerate(d.pages(), 1)), list(passwords))
+
+
 def _box(d: Document, p: dict, key: str):
     v = d.inherited(p, key)
     return [float(d.get(x)) for x in v] if isinstance(v, list) and len(v) == 4 else None
@@ -215,6 +238,13 @@ def outlines(files: DataFrame, passwords: list[str] = ()) -> DataFrame:
     return _table(files, "path_ids array<int>, title string, count int, dest_page int, layout string, values array<float>, color array<float>, flags int, filepath string", lambda d: ({("path_ids" if k == "path" else k): v for k, v in o.items()} for o in d.outlines()), list(passwords))
 
 
+def outline_children(items: DataFrame, path_ids: list[int]) -> DataFrame:
+    """The items of an ``outlines`` table directly below the one at ``path_ids``, in order."""
+    n = len(path_ids)
+    below = F.slice("path_ids", 1, n) == F.array(*map(F.lit, path_ids)).cast("array<int>") if n else F.lit(True)
+    return items.where((F.size("path_ids") == n + 1) & below).orderBy("path", F.col("path_ids")[n])
+
+
 def attachments(files: DataFrame, passwords: list[str] = ()) -> DataFrame:
     """Embedded files (page_no null) and file annotations: name, content."""
     return _table(files, "page_no int, name string, content binary", lambda d: ({"page_no": p, "name": n, "content": c} for p, n, c in d.attachments()), list(passwords))
@@ -260,7 +290,7 @@ def certificates(signed: DataFrame) -> DataFrame:
 
 def write_pem(certs: DataFrame, path: str) -> None:
     """The texts of a ``certificates`` table as PEM files."""
-    certs.select("text").write.mode("overwrite").option("lineSep", "").text(path)
+    certs.select(F.regexp_replace("text", r"\n$", "")).write.mode("overwrite").text(path)
 
 
 def write_texts(texts: DataFrame, path: str) -> None:

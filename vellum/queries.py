@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import filters, scalars
+from .functions import entries, filters, scalars
 from .plans import relational, tables
 from .sources import security, syntax
 from .sources.writer import text_pdf
@@ -32,7 +32,9 @@ def _mapped(df: DataFrame, key: str, value: str, f: Callable[[str], bytes]) -> D
             out = [f(v or "") for v in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=[key, "out"])
 
-    return df.select(F.col(key).cast("long").alias(key), F.col(value).cast("string").alias(value)).mapInArrow(run, f"{key} long, out binary")
+    # The test tables are single row groups, which one task would read.
+    narrow = df.select(F.col(key).cast("long").alias(key), F.col(value).cast("string").alias(value)).repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return narrow.mapInArrow(run, f"{key} long, out binary")
 
 
 def _as_pdfs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,6 +156,28 @@ def string_syntax_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.md5("out").alias("out_md5"), F.length("out").cast("long").alias("n_bytes"))
 
 
+def decode_until(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first filter of a chain taken off alone, then the rest."""
+
+    def twice(t: str) -> bytes:
+        first = filters.decode(base64.a85encode(zlib.compress(t.encode())) + b"~>", ["A85", "Fl"], until="FlateDecode")
+        return filters.decode(first, ["FlateDecode"])
+
+    out = _mapped(_read(spark, sf_dir, "documents"), "doc_id", "text", twice)
+    return out.select("doc_id", F.md5("out").alias("out_md5"), F.length("out").cast("long").alias("n_bytes"))
+
+
+def dict_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as dictionaries: entries set and removed, composed with another map, turned round."""
+    own = F.create_map(F.lit("a"), F.col("c_mktsegment"), F.lit("b"), F.col("c_name"), F.lit("c"), F.col("c_mktsegment"))
+    forms = {
+        "added": entries.with_entry(own, F.lit("d"), F.lit("x")), "removed": entries.with_entry(own, F.lit("a"), F.lit(None).cast("string")), "dropped": entries.without_entry(own, F.lit("b")),
+        "mapped": entries.composed(own, F.create_map(F.col("c_name"), F.lit("N")), F.lit("none")), "turned": entries.reversed_map(own),
+    }
+    shown = lambda m: F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
+    return _read(spark, sf_dir, "customer").select("c_custkey", *[shown(m).alias(n) for n, m in forms.items()])
+
+
 def text_string_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as UTF-16 text strings with a mark, decoded again."""
     out = _mapped(_read(spark, sf_dir, "documents"), "doc_id", "text", lambda t: scalars.text_string(b"\xfe\xff" + t.encode("utf-16-be")).encode())
@@ -249,7 +273,7 @@ def cert_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {n: _filter_query(f) for n, f in FILTER_QUERIES.items()}
-    own = (doc_text_roundtrip, doc_page_count, content_op_stats, filter_chain_roundtrip, string_syntax_roundtrip, text_string_roundtrip, crypt_aes_roundtrip, pdf_date_events, date_partial_default, page_label_numerals, page_label_asof, xref_newest_wins, resolve_refs, inherit_attr, cmap_range_lookup, height_profile_mode, cert_dedup)
+    own = (doc_text_roundtrip, doc_page_count, content_op_stats, filter_chain_roundtrip, string_syntax_roundtrip, decode_until, dict_helpers, text_string_roundtrip, crypt_aes_roundtrip, pdf_date_events, date_partial_default, page_label_numerals, page_label_asof, xref_newest_wins, resolve_refs, inherit_attr, cmap_range_lookup, height_profile_mode, cert_dedup)
     return {f.__name__: f for f in own} | out
 
 
@@ -262,10 +286,11 @@ MINUTES = "((user_id % 27 - 13) * 30)"
 
 def oracle_sql() -> dict[str, str]:
     words = "trim(regexp_replace(coalesce(text, ''), '[ \\n\\r\\t]+', ' ', 'g'))"
-    return {n: DIGEST_SQL for n in (*FILTER_QUERIES, "filter_chain_roundtrip", "string_syntax_roundtrip", "text_string_roundtrip")} | {
+    return {n: DIGEST_SQL for n in (*FILTER_QUERIES, "filter_chain_roundtrip", "string_syntax_roundtrip", "decode_until", "text_string_roundtrip")} | {
         "doc_text_roundtrip": f"SELECT doc_id, md5({words}) AS words_md5, length({words}) AS n_chars FROM documents",
         "doc_page_count": f"SELECT doc_id, CAST(ceil({LINES} / 40.0) AS BIGINT) AS page_count, CAST(ceil({LINES} / 40.0) AS BIGINT) AS pages FROM documents",
         "content_op_stats": f"SELECT doc_id, CAST({LINES} AS BIGINT) AS n_show, CAST({LINES} AS BIGINT) AS n_next, CAST(ceil({LINES} / 40.0) AS BIGINT) AS n_begin, CAST(ceil({LINES} / 40.0) AS BIGINT) AS n_font FROM documents",
+        "dict_helpers": "SELECT c_custkey, 'a=' || c_mktsegment || ',b=' || c_name || ',c=' || c_mktsegment || ',d=x' AS added, 'b=' || c_name || ',c=' || c_mktsegment AS removed, 'a=' || c_mktsegment || ',c=' || c_mktsegment AS dropped, 'a=none,b=N,c=none' AS mapped, CASE WHEN c_mktsegment < c_name THEN c_mktsegment || '=c,' || c_name || '=b' ELSE c_name || '=b,' || c_mktsegment || '=c' END AS turned FROM customer",
         "crypt_aes_roundtrip": "SELECT page_id, url FROM pages",
         "pdf_date_events": f"SELECT event_id, 'D:' || strftime(date_trunc('second', ts) + to_minutes(CAST({MINUTES} AS INT)), '%Y%m%d%H%M%S') || CASE WHEN {MINUTES} < 0 THEN '-' ELSE '+' END || printf('%02d', CAST(abs({MINUTES}) // 60 AS INT)) || '''' || printf('%02d', CAST(abs({MINUTES}) % 60 AS INT)) AS d, CAST(date_trunc('second', ts) AS TIMESTAMP) AS utc FROM events",
         "date_partial_default": "SELECT o_orderkey, CAST(CASE o_orderkey % 6 WHEN 0 THEN date_trunc('year', o_orderdate) WHEN 1 THEN date_trunc('month', o_orderdate) WHEN 2 THEN date_trunc('day', o_orderdate) WHEN 3 THEN date_trunc('hour', o_orderdate) WHEN 4 THEN date_trunc('minute', o_orderdate) ELSE date_trunc('second', o_orderdate) END AS TIMESTAMP) AS local, CAST(0 AS INT) AS minutes FROM orders",

@@ -10,6 +10,7 @@ import base64
 import hashlib
 import hmac
 import re
+from contextlib import suppress
 from datetime import datetime, timedelta
 from typing import NamedTuple
 
@@ -151,7 +152,22 @@ def rsa_signed(cert: Certificate, name: str | None, data: bytes, signature: byte
 
 
 def pem_certificates(text: str) -> list[Certificate]:
-    return [Certificate(base64.b64decode(m)) for m in re.findall(r"-----BEGIN CERTIFICATE-----(.*?)-----END", text, re.S)]
+    """The certificates of a PEM text; what cannot be read is left out."""
+    out = []
+    for m in re.findall(r"-----BEGIN CERTIFICATE-----(.*?)-----END", text, re.S):
+        with suppress(ValueError, IndexError, StopIteration):
+            out.append(Certificate(base64.b64decode(m)))
+    return out
+
+
+def system_anchors() -> str:
+    """The PEM text of the anchors that this machine trusts; empty if it has none."""
+    import ssl
+    from pathlib import Path
+
+    paths = ssl.get_default_verify_paths()
+    files = [Path(paths.cafile)] if paths.cafile else sorted(Path(paths.capath).glob("*.pem")) if paths.capath else []
+    return "\n".join(f.read_text(errors="replace") for f in files if f.is_file())
 
 
 def trusted(cert: Certificate, others: list[Certificate], anchors: list[Certificate], at: datetime) -> None:

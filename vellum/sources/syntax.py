@@ -45,8 +45,10 @@ END = Keyword("")
 
 
 class Parser:
-    def __init__(self, data: bytes, at: int = 0, references: bool = True):
-        self.data, self.at, self.references = data, at, references
+    """``words`` maps further bare words to values; a function of the word is called for its value."""
+
+    def __init__(self, data: bytes, at: int = 0, references: bool = True, words: dict[bytes, object] | None = None):
+        self.data, self.at, self.references, self.words = data, at, references, words
 
     def skip(self) -> None:
         data, n = self.data, len(self.data)
@@ -101,6 +103,9 @@ class Parser:
             return float(word) if b"." in word else int(word)
         if word[:1] in b"+-.0123456789" and (number := _odd_number(word)) is not None:
             return number
+        if self.words and word in self.words:
+            found = self.words[word]
+            return found(word) if callable(found) else found
         constants = {b"true": True, b"false": False, b"null": None}
         return constants[word] if word in constants else Keyword(word.decode("latin-1"))
 

@@ -285,3 +285,37 @@ def signed_pdf(sign, field: dict, value: dict, room: int = 6000, **options) -> b
 
 def private_key(key: tuple[int, int]) -> PrivateKey:
     return PrivateKey(*key)
+
+
+def key_file(key: tuple[int, int], cert: bytes) -> bytes:
+    """A PKCS#12 file without encryption or checksum."""
+    n, d = key
+    data = lambda body: der(0x30, der_oid("1.2.840.113549.1.7.1"), der(0xA0, der(4, body)))
+    private = der(0x30, der_int(0), der_algorithm(RSA), der(4, der(0x30, der_int(0), der_int(n), der_int(65537), der_int(d))))
+    bags = [der(0x30, der_oid("1.2.840.113549.1.12.10.1.1"), der(0xA0, private)), der(0x30, der_oid("1.2.840.113549.1.12.10.1.3"), der(0xA0, der(0x30, der_oid("1.2.840.113549.1.9.22.1"), der(0xA0, der(4, cert)))))]
+    return der(0x30, der_int(3), data(der(0x30, data(der(0x30, *bags)))))
+
+
+def envelope(content: bytes, certs: list[bytes]) -> bytes:
+    """Enveloped data under AES-128 for the holders of certificates."""
+    secret, iv, recipients = hashlib.sha256(content).digest()[:16], bytes(16), []
+    for c in map(Certificate, certs):
+        size = (c.modulus.bit_length() + 7) // 8
+        block = b"\0\2" + b"\x5a" * (size - 3 - len(secret)) + b"\0" + secret
+        recipients.append(der(0x30, der_int(0), der(0x30, c.issuer_raw, der_int(c.serial)), der_algorithm(RSA), der(4, pow(int.from_bytes(block, "big"), c.exponent, c.modulus).to_bytes(size, "big"))))
+    pad = 16 - len(content) % 16
+    shut = aes_cbc(secret, iv, content + bytes([pad]) * pad, True)
+    inner = der(0x30, der_oid("1.2.840.113549.1.7.1"), der(0x30, der_oid("2.16.840.1.101.3.4.1.2"), der(4, iv)), der(0x80, shut))
+    return der(0x30, der_oid("1.2.840.113549.1.7.3"), der(0xA0, der(0x30, der_int(0), der(0x31, *recipients), inner)))
+
+
+class RecipientEncryption(Encryption):
+    """Encryption to the holders of certificates, by AES with 128 or 256 bits."""
+
+    def __init__(self, certs: list[bytes], bits: int = 128, permissions: int = 0xFFFFF0C4, first_id: bytes = b"0123456789abcdef"):
+        seed = hashlib.sha1(b"seed" + first_id).digest()
+        made = envelope(seed + permissions.to_bytes(4, "big"), certs)
+        self.first_id, self.v, self.kind, self.filters = first_id, 4 if bits == 128 else 5, "AESV2" if bits == 128 else "AESV3", ("DefaultCryptFilter",) * 2
+        self.key = (hashlib.sha1 if bits == 128 else hashlib.sha256)(seed + made).digest()[: bits // 8]
+        own = {"CFM": Name(self.kind), "Recipients": [made], "EncryptMetadata": True}
+        self.info = {"Filter": Name("Adobe.PubSec"), "SubFilter": Name("adbe.pkcs7.s5"), "V": self.v, "Length": bits, "CF": {"DefaultCryptFilter": own}, "StmF": Name("DefaultCryptFilter"), "StrF": Name("DefaultCryptFilter")}
