@@ -286,9 +286,11 @@ class Document:
                 seen.add(ref)
             v = self.get(ref)
             if isinstance(v, dict):
-                own = self.get(v.get(leaf)) or []
-                out += list(zip(own[::2], own[1::2], strict=False))
-                stack += list(reversed(self.get(v.get("Kids")) or []))
+                own, kids = self.get(v.get(leaf)), self.get(v.get("Kids"))
+                if isinstance(own, list):
+                    out += list(zip(own[::2], own[1::2], strict=False))
+                if isinstance(kids, list):
+                    stack += reversed(kids)
         return out
 
     def info(self) -> dict[str, object]:
