@@ -232,3 +232,13 @@ def test_ranges_in_quantiles(spark, monkeypatch):
         monkeypatch.setattr(relational, "MOST_COPIES", most)
         got = relational.in_range(rows, bands, "t", "lo", "hi", {"v": F.lit("-")}).collect()
         assert {r.t: r.v for r in got} == want and len(got) == 200
+
+
+def test_as_of_in_slices(spark):
+    rows = spark.range(0, 400).select((F.col("id") % 3).alias("k"), (F.col("id") * 37 % 401).alias("t"))
+    ranges = spark.range(0, 60).select((F.col("id") % 2).alias("k"), (F.col("id") * 13 % 390).alias("s"), F.concat(F.lit("v"), "id").alias("v"))
+    plain, cut = (relational.as_of(rows, ranges, ["k"], "t", "s", ["v"], n) for n in (1, 7))
+    assert cut.count() == 400 and plain.exceptAll(cut).count() == 0 and plain.where("v is not null").count() > 200
+    when = lambda c: F.timestamp_seconds(F.col(c) * 1000).alias(c)
+    timed = [relational.as_of(rows.select("k", when("t")), ranges.select("k", when("s"), "v"), ["k"], "t", "s", ["v"], n) for n in (1, 5)]
+    assert timed[0].exceptAll(timed[1]).count() == 0

@@ -18,16 +18,31 @@ def resolve(refs: DataFrame, objects: DataFrame, on: list[tuple[str, str]]) -> D
     return refs.join(objects, [refs[a] == objects[b] for a, b in on], "left")
 
 
-def as_of(rows: DataFrame, ranges: DataFrame, by: list[str], at: str, start: str, values: list[str]) -> DataFrame:
+def as_of(rows: DataFrame, ranges: DataFrame, by: list[str], at: str, start: str, values: list[str], slices: int = 1) -> DataFrame:
     """Each row with the values of the last range that starts at or before ``at``, within equal ``by``.
 
-    One shuffle of both sides and one window, no pairs: ranges and rows are sorted together and the last range is carried on.
+    One shuffle of both sides and one window, no pairs: ranges and rows are sorted together and the last range is carried
+    on. Where single keys hold much of the table, ``slices`` cuts each key by quantiles of the starts; a row without a
+    range in its own slice takes the last one of the slices before, of which there is one row a key and slice.
     """
-    left = rows.select("*", F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(ranges.select(F.struct(start, *values)).schema[0].dataType).alias("_v"))
-    right = ranges.select(*[F.lit(None).cast(rows.schema[c].dataType).alias(c) if c not in by else F.col(c) for c in rows.columns], F.col(start).alias("_at"), F.lit(0).alias("_kind"), F.struct(start, *values).alias("_v"))
-    w = Window.partitionBy(*by).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = left.unionByName(right).withColumn("_last", F.last("_v", ignorenulls=True).over(w)).where("_kind = 1")
-    return both.select(*rows.columns, *[F.col(f"_last.{c}").alias(c) for c in (start, *values)])
+    value = F.struct(start, *values)
+    left = rows.select("*", F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(ranges.select(value).schema[0].dataType).alias("_v"))
+    right = ranges.select(*[F.lit(None).cast(rows.schema[c].dataType).alias(c) if c not in by else F.col(c) for c in rows.columns], F.col(start).alias("_at"), F.lit(0).alias("_kind"), value.alias("_v"))
+    both, keys = left.unionByName(right), list(by)
+    if slices > 1:
+        number = lambda c: F.col(c).cast("timestamp").cast("double") if ranges.schema[start].dataType.typeName().startswith(("timestamp", "date")) else F.col(c).cast("double")
+        cuts = sorted(set(ranges.select(number(start).alias("x")).approxQuantile("x", [i / slices for i in range(1, slices)], 0.25 / slices)))
+        bounds = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>")
+        both, keys = both.withColumn("_slice", F.size(F.filter(bounds, lambda x: x <= number("_at")))), [*by, "_slice"]
+    w = Window.partitionBy(*keys).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("_last", F.last("_v", ignorenulls=True).over(w)).where("_kind = 1")
+    if slices > 1:
+        ends = both.where("_kind = 0").groupBy(*keys).agg(F.max_by("_v", "_at").alias("_end"))
+        ends = rows.select(*by).distinct().crossJoin(rows.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("_slice"))).join(ends, keys, "left")
+        before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.select(*keys, F.last("_end", ignorenulls=True).over(before).alias("_before")).where("_before is not null")
+        found = found.join(ends, keys, "left").withColumn("_last", F.coalesce("_last", "_before"))
+    return found.select(*rows.columns, *[F.col(f"_last.{c}").alias(c) for c in (start, *values)])
 
 
 MOST_COPIES = 10_000_000
