@@ -38,7 +38,7 @@ def as_of(rows: DataFrame, ranges: DataFrame, by: list[str], at: str, start: str
     found = both.withColumn("_last", F.last("_v", ignorenulls=True).over(w)).where("_kind = 1")
     if slices > 1:
         ends = both.where("_kind = 0").groupBy(*keys).agg(F.max_by("_v", "_at").alias("_end"))
-        ends = rows.select(*by).distinct().crossJoin(rows.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("_slice"))).join(ends, keys, "left")
+        ends = rows.select(*by).distinct().withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(len(cuts))))).join(ends, keys, "left")
         before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
         ends = ends.select(*keys, F.last("_end", ignorenulls=True).over(before).alias("_before")).where("_before is not null")
         found = found.join(ends, keys, "left").withColumn("_last", F.coalesce("_last", "_before"))
