@@ -1,10 +1,12 @@
-"""Shared helpers: scratch tables in the shared folder, labelled samples and Arrow row slices."""
+"""Shared helpers: scratch tables in the shared folder, models fitted on labelled samples, and Arrow row slices."""
 
 from __future__ import annotations
 
+import pickle
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +23,11 @@ def ascii_lower(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured (tests)."""
+    """The folder that driver and executors share; a temporary one only in local mode where none is configured (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='vellum-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -68,20 +72,37 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, max_chars: int) -> list:
-    """At most about ``rows`` labelled training rows (text, y), chosen by a hash of the id and so the same in every run.
+def fitted(docs: DataFrame, labels: DataFrame, label: str, fit: Callable[[list[str], list[int]], object], rows: int, max_chars: int, budget: int = 48_000_000):
+    """What ``fit(texts, labels)`` makes of about ``rows`` labelled training documents; fitted in one executor task.
 
-    Held-out ids, null labels and texts over ``max_chars`` characters are left out; a bounded sample for fitting only.
+    The documents are chosen by a hash of the id and so the same in every run. Held-out ids, null labels, ids with two
+    different labels and texts over ``max_chars`` characters are left out; of an id that repeats, the least text counts.
+    The task takes documents in the order of their hash until they hold ``budget`` characters. A bounded sample for
+    fitting only: neither it nor the texts reach the driver, only the model does.
     """
-    known = labels.where(~held_out(F.col("doc_id")) & F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("y")).dropDuplicates(["doc_id"])
+    by_id = labels.where(~held_out(F.col("doc_id")) & F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min(label).alias("y"), F.max(label).alias("other"))
+    known = by_id.where("y = other").select("_id", "y")
     total = known.count()
-    if not total:
-        return []
-    spread = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1 << 20))
-    known = known.where(spread < int(min(1.0, rows / total) * (1 << 20)) + 1)
-    texts = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= max_chars)
-    got = texts.join(F.broadcast(known), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y").collect()
-    return sorted(got, key=lambda r: (r.doc_id, r.text))
+    spread = F.pmod(F.xxhash64(F.col("_id"), F.lit(7)), F.lit(1 << 20))
+    known = known.where(spread < int(min(1.0, rows / max(1, total)) * (1 << 20)) + 1).withColumn("at", spread)
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.length("text") <= max_chars)
+    # About ``rows`` short rows are broadcast; texts meet again by id only where an id repeats.
+    sample = texts.join(F.broadcast(known), "_id").groupBy("_id", "at", "y").agg(F.min("text").alias("text")).repartition(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted(((r["at"], r["_id"], r["y"], r["text"]) for b in batches for r in b.to_pylist()), key=lambda r: r[:2])
+        size, kept = 0, []
+        for r in found:
+            size += len(r[3])
+            if size > budget:
+                break
+            kept.append(r)
+        kept.sort(key=lambda r: r[1])
+        model = fit([r[3] for r in kept], [int(r[2]) for r in kept])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    made = sample.mapInArrow(run, "model binary").first()
+    return pickle.loads(made.model) if made else fit([], [])
 
 
 def slices(texts: list[str | None], limit: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes]]]:
@@ -105,19 +126,28 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterat
 
 
 def replaced(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
-    """The batch with the given columns added; a column of the same name is replaced."""
-    names = [n for n in batch.schema.names if n not in columns]
-    return pa.RecordBatch.from_arrays([batch.column(n) for n in names] + list(columns.values()), names=names + list(columns))
+    """The batch with the given columns added; columns of the same name, in whatever case, are replaced."""
+    own = {n.lower() for n in columns}
+    kept = [i for i, n in enumerate(batch.schema.names) if n.lower() not in own]
+    return pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + list(columns.values()), names=[batch.schema.names[i] for i in kept] + list(columns))
 
 
 def with_fields(df: DataFrame, fields: str) -> str:
     """The DDL of ``replaced`` for mapInArrow."""
     bounded_batches(df.sparkSession)
-    names = {f.split()[0] for f in fields.split(",")}
-    own = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in names]
+    names = {f.split()[0].lower() for f in fields.split(",")}
+    own = ["`{}` {}".format(f.name.replace("`", "``"), f.dataType.simpleString()) for f in df.schema.fields if f.name.lower() not in names]
     return ", ".join(own + [fields])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores in front until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The public 64-bit finaliser of MurmurHash3, on arrays."""
     x = x ^ (x >> np.uint64(33))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, mix64, replaced, slices, small_batches, with_fields
+from .common import fitted, held_out, mix64, replaced, slices, small_batches, with_fields
 from .words import spans, word_hashes
 
 BITS = 18
@@ -62,11 +62,11 @@ def all_indicators(texts: list[str | None]) -> list[np.ndarray]:
 
 
 class NaiveBayesSvm:
-    """weights over scaled indicators, an intercept, and the logistic curve (slope, shift) for probabilities."""
+    """Weights over scaled indicators, an intercept, and the logistic curve (slope, shift) for probabilities."""
 
     def __init__(self, weights: np.ndarray, bias: float, ratio: np.ndarray, slope: float, shift: float):
-        self.weights, self.bias, self.ratio, self.slope, self.shift = weights, bias, ratio, slope, shift
-        self.scaled, self.squares = weights * ratio, ratio * ratio
+        self.bias, self.slope, self.shift = bias, slope, shift
+        self.scaled, self.squares = (weights * ratio).astype(np.float32), (ratio * ratio).astype(np.float32)
 
     def margin(self, x: np.ndarray) -> float:
         norm = float(np.sqrt(self.squares[x].sum()))
@@ -153,9 +153,8 @@ def fit(texts: list[str | None], labels: list[int], c: float = 1.0) -> NaiveBaye
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = 6000, max_chars: int = 50_000) -> NaiveBayesSvm:
-    """Fit on a bounded sample of about ``rows`` labelled documents outside the held-out fifth, each of at most ``max_chars``."""
-    sample = labelled_sample(docs, labels, "quality", rows, max_chars)
-    return fit([r.text for r in sample], [int(r.y) for r in sample])
+    """Fit, in an executor, on a bounded sample of about ``rows`` labelled documents outside the held-out fifth, each of at most ``max_chars``."""
+    return fitted(docs, labels, "quality", fit, rows, max_chars)
 
 
 def quality_scores(docs: DataFrame, model: NaiveBayesSvm, threshold: float = 0.3) -> DataFrame:
@@ -164,7 +163,7 @@ def quality_scores(docs: DataFrame, model: NaiveBayesSvm, threshold: float = 0.3
     Whole texts are scored. A null or empty text has no indicators and gets the model's base score; a null doc_id is
     held out. Every row is kept, repeated ones too.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((model.scaled.astype(np.float32), model.squares.astype(np.float32), model.bias, model.slope, model.shift))
+    sent = docs.sparkSession.sparkContext.broadcast((model.scaled, model.squares, model.bias, model.slope, model.shift))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scaled, squares, bias, slope, shift = sent.value

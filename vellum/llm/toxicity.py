@@ -1,12 +1,18 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Five small transducers read the words of a clause: insult, threat, target, negation and reported speech. Each maps a
-word to a class with a weight; their composition is one automaton whose states say what the clause has shown so far.
-An insult or threat aimed at a target weighs more, one under negation less, one inside reported speech less still. A
-document's score comes from its matched clauses, by a logistic curve fitted on labelled rows.
-
-Word classes start from the fixed lists below; words and word stems that labelled rows show to be toxic are added to the
-insult transducer with their log-odds as weights, so languages without a list are covered by their labels.
+A lexicon maps the words of a clause to symbols: target, negation, report, intent, threat, insults of several levels, and
+other. Five transducers are composed into one automaton that reads these symbols:
+
+* negation marks the words in its reach, reported speech marks what follows the report;
+* target marks insults that are aimed at someone, before or after them in the clause;
+* insult gives marked insults their weight: aimed more, negated or reported less; the heaviest in a clause counts in
+  full, further ones a quarter;
+* threat has a path of its own: an intention, a verb of violence and a target as its object ("I will hurt you"), or the
+  verb first in the clause and then its object ("hurt them"); the verb alone, or with another object, weighs nothing.
+
+A clause weighs as much as its heaviest path, and a document's score comes from its matched clauses, by a logistic curve
+fitted on labelled rows. Words and word stems that labelled rows show to be toxic join the lexicon as insults with their
+log-odds as level, so languages without a list are covered by their labels.
 """
 
 from __future__ import annotations
@@ -15,66 +21,166 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, replaced, small_batches, with_fields
+from .common import fitted, held_out, replaced, small_batches, with_fields
+from .transducer import Heaviest, Transducer
 
-# Fixed word lists of the grammar.
+# Fixed word lists of the lexicon.
 INSULTS = "idiot idiots moron morons loser losers scum clown stupid dumb disgusting worthless pathetic trash fool imbecile garbage vermin pig bastard jerk".split()
 THREATS = "kill hurt destroy beat stab shoot murder attack hang burn".split()
-TARGETS = "you your yours you're he she they them him her these those everyone people".split()
-NEGATIONS = "not never no isn't aren't wasn't don't doesn't didn't won't hardly nicht kein nie pas jamais no nunca".split()
+INTENTS = "will shall gonna going want wants wanna should must let i'll we'll they'll i'd deserve deserves werde wird voy vais vamos".split()
+TARGETS = "you your yours you're he she they them him her these those everyone people us all dich euch sie te ustedes vous toi".split()
+NEGATIONS = "not never no isn't aren't wasn't don't doesn't didn't won't hardly nicht kein nie pas jamais nunca".split()
 REPORTS = "said says claimed called reported quoted wrote stated alleged according sagte dit dijo".split()
 
 CLAUSE = re.compile(r"[.!?;:\n]+")
 WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 STEMS = (6, 7, 8)
-# Factors of the arcs: aimed at a target, under a negation, inside reported speech.
-AIMED, NEGATED, REPORTED = 1.5, 0.3, 0.4
+# Levels of insults: half a unit of weight each. Fixed insults have weight 4, threats weight 6.
+LEVEL, LEVELS, INSULT, THREAT = 0.5, 16, 4.0, 6.0
+# Factors: aimed at a target, under a negation, inside reported speech; further insults of a clause.
+AIMED, NEGATED, REPORTED, FURTHER = 1.5, 0.3, 0.4, 0.25
+# Words that a negation reaches, that may stand between intention and verb, and between verb and object.
+REACH, BETWEEN = 3, 3
+
+KINDS = ("other", "target", "negation", "report", "intent", "threat", *(f"insult{k}" for k in range(1, LEVELS + 1)))
+
+
+def level(weight: float) -> str:
+    return f"insult{min(LEVELS, max(1, round(weight / LEVEL)))}"
+
+
+def marked(flags: str) -> list[tuple[str, str]]:
+    """All symbols that carry some of the marks in ``flags``."""
+    sets = [""]
+    for f in flags:
+        sets += [s + f for s in sets]
+    return [(k, s) for k in KINDS for s in sets]
+
+
+def negation() -> Transducer:
+    t = Transducer(0, range(REACH + 1))
+    for left in range(REACH + 1):
+        for k, s in marked(""):
+            t.add(left, (k, s), (k, s + "n" if left and k != "negation" else s), REACH if k == "negation" else max(0, left - 1))
+    return t
+
+
+def report() -> Transducer:
+    t = Transducer("said by the writer", ("said by the writer", "reported"))
+    for k, s in marked("n"):
+        t.add("said by the writer", (k, s), (k, s), "reported" if k == "report" else "said by the writer")
+        t.add("reported", (k, s), (k, s + "r"), "reported")
+    return t
+
+
+def target() -> Transducer:
+    """An insult before its target is marked by guess; a path that guessed wrong ends in no final state."""
+    t = Transducer("none", ("none", "seen"))
+    for k, s in marked("nr"):
+        for state in ("none", "seen", "owed"):
+            to = "seen" if k == "target" else state
+            if not k.startswith("insult"):
+                t.add(state, (k, s), (k, s), to)
+            elif state == "none":
+                t.add(state, (k, s), (k, s), "none")
+                t.add(state, (k, s), (k, s + "a"), "owed")
+            else:
+                t.add(state, (k, s), (k, s + "a"), state)
+    return t
+
+
+def factor(marks: str) -> float:
+    return (NEGATED if "n" in marks else 1.0) * (REPORTED if "r" in marks else 1.0) * (AIMED if "a" in marks else 1.0)
+
+
+def insult() -> Transducer:
+    t = Transducer("first", ("first", "further"))
+    for k, s in marked("nra"):
+        if not k.startswith("insult"):
+            t.add("first", (k, s), (k, s), "first")
+            t.add("further", (k, s), (k, s), "further")
+            continue
+        weight = int(k[6:]) * LEVEL * factor(s)
+        t.add("first", (k, s), (k, s), "further", weight)
+        t.add("first", (k, s), (k, s), "first", FURTHER * weight)
+        t.add("further", (k, s), (k, s), "further", FURTHER * weight)
+    return t
+
+
+def threat() -> Transducer:
+    """A verb is taken for a threat by guess, at its full weight; the path is only final once its object has come."""
+    t = Transducer("begin", ("begin", "inside", *(("intent", n) for n in range(BETWEEN + 1))))
+    for k, s in marked("nra"):
+        x = (k, s)
+        to = ("intent", 0) if k == "intent" else "inside"
+        t.add("begin", x, x, to)
+        t.add("inside", x, x, to)
+        for n in range(BETWEEN + 1):
+            t.add(("intent", n), x, x, ("intent", 0) if k == "intent" else ("intent", n + 1) if n < BETWEEN else "inside")
+            if k == "threat":
+                t.add(("intent", n), x, x, ("verb", 0), THREAT * factor(s))
+            if k == "target":
+                t.add(("verb", n), x, x, "inside")
+            elif n < BETWEEN and k not in ("threat", "intent"):
+                t.add(("verb", n), x, x, ("verb", n + 1))
+        if k == "threat":
+            t.add("begin", x, x, ("verb", BETWEEN), THREAT * factor(s))
+    return t
+
+
+@lru_cache(maxsize=1)
+def automaton() -> Heaviest:
+    """The composition of the five."""
+    return negation().then(report()).then(target()).then(insult()).then(threat()).heaviest()
 
 
 class Grammar:
-    """The composed automaton; ``weights`` holds the insult and threat words, ``stems`` the learned prefixes."""
+    """A lexicon in front of the composed automaton; ``weights`` holds the insults, ``stems`` the learned prefixes."""
 
     def __init__(self, weights: dict[str, float] | None = None, stems: dict[str, float] | None = None):
-        self.weights = weights if weights is not None else {w: 4.0 for w in INSULTS + THREATS}
+        self.weights = weights if weights is not None else dict.fromkeys(INSULTS, INSULT)
         self.stems = stems or {}
-        self.arcs = {w: "target" for w in TARGETS} | {w: "negation" for w in NEGATIONS} | {w: "report" for w in REPORTS}
-
-    def emit(self, word: str) -> float:
-        """The insult and threat transducers: the weight of a word, zero for none."""
-        return self.weights.get(word) or max((self.stems.get(word[:n], 0.0) for n in STEMS if len(word) > n), default=0.0)
-
-    def clause(self, words: list[str]) -> float:
-        """The heaviest reading of one clause: states are (negated, reported), negation reaches three words, a report to the clause's end."""
-        negated, reported, aimed, best, total = 0, False, False, 0.0, []
-        for w in words:
-            kind = self.arcs.get(w)
-            if kind == "target":
-                aimed = True
-            elif kind == "negation":
-                negated = 4
-            elif kind == "report":
-                reported = True
-            weight = self.emit(w)
-            if weight > 0:
-                total.append(weight * (NEGATED if negated else 1.0) * (REPORTED if reported else 1.0))
-                best = max(best, total[-1])
-            negated = max(0, negated - 1)
-        return (best + 0.25 * (sum(total) - best)) * (AIMED if aimed else 1.0) if total else 0.0
+        self.fixed = {w: k for k, words in (("report", REPORTS), ("intent", INTENTS), ("target", TARGETS), ("negation", NEGATIONS), ("threat", THREATS)) for w in words}
+        self.known: dict[str, str] = {}
+
+    def symbol(self, word: str) -> str:
+        """The symbol of a word in the lexicon; a word of the fixed lists keeps its role."""
+        if kind := self.fixed.get(word) or self.known.get(word):
+            return kind
+        if len(self.known) > 1 << 18:  # words seen so far, for speed only
+            self.known.clear()
+        kind = self.known[word] = self._insult(word)
+        return kind
+
+    def _insult(self, word: str) -> str:
+        w = self.weights.get(word) or max((self.stems.get(word[:n], 0.0) for n in STEMS if len(word) > n), default=0.0)
+        return level(w) if w > 0 else "other"
+
+    def clause(self, words: list[str], symbols: dict[str, str] | None = None) -> float:
+        """The weight of one clause's heaviest path."""
+        return automaton().weigh([((symbols[w] if symbols else self.symbol(w)), "") for w in words]) or 0.0
 
     def features(self, text: str | None) -> tuple[float, float, float]:
-        """Over all clauses of the whole text: the strongest, the log of the sum, and the log of the number of different matched words."""
+        """Over all clauses of the whole text: the heaviest, the log of their sum, and the log of the number of different insults and threats in them."""
         low = (text or "").lower()
-        hits = {w for w in set(WORD.findall(low)) if self.emit(w) > 0}
+        symbols = {w: self.symbol(w) for w in set(WORD.findall(low))}
+        hits = {w for w, k in symbols.items() if k == "threat" or k.startswith("insult")}
         if not hits:
             return 0.0, 0.0, 0.0
-        found = [c for c in (self.clause(WORD.findall(part)) for part in CLAUSE.split(low)) if c > 0]
-        return max(found, default=0.0), math.log1p(sum(found)), math.log1p(len(hits))
+        most, total, matched = 0.0, 0.0, set()
+        for part in CLAUSE.split(low):
+            words = WORD.findall(part)
+            if not hits.isdisjoint(words) and (weight := self.clause(words, symbols)) > 0:
+                most, total = max(most, weight), total + weight
+                matched |= hits.intersection(words)
+        return most, math.log1p(total), math.log1p(len(matched))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -137,8 +243,8 @@ class ToxicityModel:
 
 
 def fit(texts: list[str], labels: list[int]) -> ToxicityModel:
-    """Learn the insult transducer on one half of the labelled texts in turn and the curve on the other, so that chance words don't flatter it."""
-    fixed = {w: 4.0 for w in INSULTS + THREATS}
+    """Learn the insults of the lexicon on one half of the labelled texts in turn and the curve on the other, so that chance words don't flatter it."""
+    fixed = dict.fromkeys(INSULTS, INSULT)
     if len(set(labels)) < 2:
         share = (sum(labels) + 1) / (len(labels) + 2)
         return ToxicityModel(Grammar(fixed), [0.2, 0.5, 1.0, math.log(share / (1 - share)) if labels else -2.0])
@@ -161,9 +267,8 @@ def fit(texts: list[str], labels: list[int]) -> ToxicityModel:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = 8000, max_chars: int = 50_000) -> ToxicityModel:
-    """Fit on a bounded sample of about ``rows`` labelled documents outside the held-out fifth, each of at most ``max_chars``."""
-    sample = labelled_sample(docs, labels, "toxic", rows, max_chars)
-    return fit([r.text for r in sample], [int(r.y) for r in sample])
+    """Fit, in an executor, on a bounded sample of about ``rows`` labelled documents outside the held-out fifth, each of at most ``max_chars``."""
+    return fitted(docs, labels, "toxic", fit, rows, max_chars)
 
 
 def toxicity_scores(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
