@@ -27,7 +27,7 @@ from .common import Scratch, mix64, slices, small_batches
 from .words import shingle_sets
 
 POSITIONS, CHUNK, MOST = 64, 4, 31
-PIVOTS, BLOCK = 8, 1_000_000
+PIVOTS, BLOCK, TASK_EDGES = 8, 1_000_000, 1_000_000
 LANES = POSITIONS // 4
 SIG = [f"s{i}" for i in range(LANES)]
 FINE, MOST_FINE = 512, 95
@@ -105,16 +105,48 @@ def _confirm(need: int, whole: int):
     return run
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node of its component) over the edges a[i], b[i], for the nodes that are not that smallest one."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    one, two = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[one], root[two]
+        open_ = x != y
+        if not open_.any():
+            break
+        one, two, x, y = one[open_], two[open_], x[open_], y[open_]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    low = root < np.arange(len(nodes))
+    return nodes[low], nodes[root[low]]
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches if b.num_rows]
+    if parts:
+        node, root = forest(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["u", "v"])
+
+
+def components(edges: DataFrame, scratch: Scratch, task_edges: int = TASK_EDGES) -> DataFrame:
     """(node, root) of every node in ``edges`` (a, b): root is the smallest id that the node reaches.
 
-    Large-star and small-star steps in turn; each only needs the smallest neighbour of a node, so a hot node costs an
-    aggregation. Every round is written to the shared folder, the number of rounds grows with the logarithm of a
-    component's size.
+    Edges are joined in groups of about ``task_edges`` by one task each, which leaves a star for each component of the
+    group. What one task can hold is done then; more goes on by large-star and small-star rounds, whose number grows with
+    the logarithm of a component's size, until nothing changes. A node only needs its smallest neighbour, an aggregation;
+    the join with it is left to Spark's skew handling where a node has very many. Every round is a written table.
     """
+
+    def in_groups(now: DataFrame, n: int) -> DataFrame:
+        return scratch.keep(now.repartition(-(-n // task_edges)).mapInArrow(_joined, "u long, v long"), "edges")
+
     now = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = None
-    while True:
+    n, seen = now.count(), None
+    if n:
+        now = in_groups(now, n)
+    while n > task_edges:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -124,10 +156,13 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         after = scratch.keep(after, "edges")
         state = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         scratch.drop(now)
-        now = after
+        now, n = after, state[0]
         if state == seen:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            break
+        if n <= task_edges:
+            now = in_groups(now, n)
         seen = state
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def near_duplicates(docs: DataFrame, need: int = 75, whole: int = 100) -> DataFrame:
@@ -224,8 +259,8 @@ def _links(need: int, whole: int):
 def _within(docs: DataFrame, slim: DataFrame, families: DataFrame, need: int, whole: int) -> DataFrame:
     """Confirmed links (a, b) that connect what is similar inside each family, all pairs considered.
 
-    Every text goes to its family's task once. A family with more shingles than BLOCK is cut into blocks by a hash, and
-    each pair of blocks is a task of its own, so a task's memory is bounded by two blocks.
+    A family with more shingles than BLOCK is cut into blocks by a hash, and each pair of blocks is a task of its own, so
+    a task's memory is bounded by two blocks; a text moves as often as its family has blocks, mostly once.
     """
     sized = slim.select("class_id", "n_shingles").join(families, F.col("class_id") == F.col("node")).select("class_id", "root", "n_shingles")
     blocks = sized.groupBy("root").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks"))
