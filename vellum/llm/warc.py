@@ -75,14 +75,17 @@ def record_id(key: str) -> str:
     return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, key)}"
 
 
-def warc_record(row_id: int, arc: dict, refers_to: int | None) -> bytes:
-    """A response record with the body, or a revisit without one that names the record it repeats."""
+def warc_record(row_id: int | None, arc: dict, refers_to: int | None) -> bytes:
+    """A response record with the body, or a revisit without one that names the record it repeats. Without a row id its name comes from its content."""
     body = arc["body"]
     content = b"" if refers_to is not None else body
+    named = str(row_id) if row_id is not None else f"{arc['url']} {digest(body)}"
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if refers_to is not None else 'response'}", f"WARC-Record-ID: <{record_id(str(row_id))}>", f"WARC-Date: {warc_date(arc['date'])}",
-        f"WARC-Target-URI: {arc['url']}", f"WARC-IP-Address: {arc['address']}", f"WARC-Payload-Digest: sha1:{digest(body)}", f"X-Row-Id: {row_id}", f"X-Payload-Length: {len(body)}", f"Content-Type: {arc['type']}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if refers_to is not None else 'response'}", f"WARC-Record-ID: <{record_id(named)}>", f"WARC-Date: {warc_date(arc['date'])}",
+        f"WARC-Target-URI: {arc['url']}", f"WARC-IP-Address: {arc['address']}", f"WARC-Payload-Digest: sha1:{digest(body)}", f"X-Payload-Length: {len(body)}", f"Content-Type: {arc['type']}",
     ]
+    if row_id is not None:
+        head += [f"X-Row-Id: {row_id}"]
     if refers_to is not None:
         head += [f"WARC-Refers-To: <{record_id(str(refers_to))}>", f"X-Refers-To-Row-Id: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     return CRLF.join([*head, f"Content-Length: {len(content)}", "", ""]).encode("utf-8", "replace") + content
@@ -110,33 +113,47 @@ def _arc_of(b: pa.RecordBatch, i: int, version: int) -> bytes:
     return arc_record(version, url, "20240101000000", "text/html", (b.column("html")[i].as_py() or "").encode("utf-8", "replace"))
 
 
-def archived(pages: DataFrame, least: int = 0, records_per_file: int = 2000) -> DataFrame:
+def _file_of(records: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([END.join(records).decode()], pa.string())], names=["value"])
+
+
+def archived(pages: DataFrame, least: int = 0, file_bytes: int = 16 << 20) -> DataFrame:
     """Write pages (page_id, url, html) through ARC records into WARC files, read these back, a row for each record.
 
     Records whose payloads are equal and of at least ``least`` bytes are revisits of the one with the largest id. A
-    null html is an empty payload, a null url becomes ``unknown:``, line ends in a url are escaped. Rows with a null
-    page_id cannot be named by an archive and are left out. Rows that repeat a page_id with one payload are one record each.
-    The files hold at most ``records_per_file`` records, so that reading one back stays bounded.
+    null html is an empty payload, a null url becomes ``unknown:``, line ends in a url are escaped. Rows that repeat the
+    largest id are responses all of them; of rows that repeat an id each goes by its own payload. A row with a null
+    page_id has a record that carries no row id; it revisits the largest id with an equal payload, and without any such id
+    it is a response. The files hold records of ``file_bytes`` before compression, or one larger record, so that
+    writing and reading back stay bounded.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).where("page_id is not null")
-    body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    hashed = own.select("page_id", F.sha2(body, 256).alias("sum"), F.length(body).alias("n")).where(F.col("n") >= least)
-    owner = hashed.groupBy("sum").agg(F.max("page_id").alias("last"), F.min("page_id").alias("low")).where("last <> low").select("sum", "last")
-    again = hashed.join(owner, "sum").where("page_id <> last").select("page_id", "last").distinct()
-    wide = own.join(again, "page_id", "left")
+    body = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), F.sha2(body, 256).alias("sum"))
+    hashed = own.where(F.length(F.coalesce(F.col("html"), F.lit("")).cast("binary")) >= least).select("page_id", "sum")
+    owner = hashed.groupBy("sum").agg(F.max("page_id").alias("last"), F.min("page_id").alias("low"), F.count_if(F.col("page_id").isNull()).alias("nameless")).where("last <> low or (last is not null and nameless > 0)").select("sum", "last")
+    again = hashed.join(owner, "sum").where("page_id is null or page_id <> last").select(F.col("page_id").alias("_id"), F.col("sum").alias("_sum"), "last").distinct()
+    wide = own.join(again, own["page_id"].eqNullSafe(again["_id"]) & (own["sum"] == again["_sum"]), "left").select("page_id", "url", "html", "last")
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in small_batches(batches, 200):
-            ids, last, out = b.column("page_id").to_pylist(), b.column("last").to_pylist(), []
+            ids, last = b.column("page_id").to_pylist(), b.column("last").to_pylist()
             for i in range(b.num_rows):
-                arc = next(parse_arc(_arc_of(b, i, 1 + ids[i] % 2), 1 + ids[i] % 2))
-                out.append(warc_record(ids[i], arc, last[i]).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+                version = 1 + (ids[i] or 0) % 2
+                record = warc_record(ids[i], next(parse_arc(_arc_of(b, i, version), version)), last[i])
+                if held and size + len(record) > file_bytes:
+                    yield _file_of(held)
+                    held, size = [], 0
+                held.append(record)
+                size += len(record) + len(END)
+        if held:
+            yield _file_of(held)
 
     path = scratch.path("warc")
-    wide.mapInArrow(convert, "value string").write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    # A row is a whole file.
+    wide.mapInArrow(convert, "value string").write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
@@ -149,7 +166,7 @@ def archived(pages: DataFrame, least: int = 0, records_per_file: int = 2000) ->
                     sha = h["warc-payload-digest"].removeprefix("sha1:")
                     if response and digest(r["body"]) != sha:
                         raise ValueError(f"digest of record {h['warc-record-id']}")
-                    rows.append((int(h["x-row-id"]), len(r["body"]) if response else int(h["x-payload-length"]), sha, h["warc-type"], int(h["x-refers-to-row-id"]) if not response else None))
+                    rows.append((int(h["x-row-id"]) if "x-row-id" in h else None, len(r["body"]) if response else int(h["x-payload-length"]), sha, h["warc-type"], int(h["x-refers-to-row-id"]) if not response else None))
                 c = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.string()), pa.array(c[3], pa.string()), pa.array(c[4], pa.int64())], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
