@@ -4,8 +4,8 @@ Documents of a source are cut into blocks of equally many rows in a hashed order
 released at j / w and due at (j + 1) / w, counted in block slots; earliest deadline first among the released blocks
 keeps every source within less than one block of its fluid share at all times. Weights are exact ratios of whole
 numbers, so the schedule repeats after their sum: one period is planned per set of sources that still have blocks, or
-less where a source runs out sooner (so a plan never has more slots than there are blocks), and every block finds its
-slot by arithmetic and an equi-join. When a source runs out, the others go on in the proportion of their weights, so
+less where a source runs out sooner (so a plan never has more slots than there are blocks), and every row finds its
+slot by arithmetic and a join with the small plan. When a source runs out, the others go on in the proportion of their weights, so
 each row appears exactly once; sources of weight zero come after all others, in equal parts.
 """
 
@@ -20,12 +20,14 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_SOURCES = 2_000
+from .common import free_name
+
+MOST_SOURCES, MOST_SLOTS, BROADCAST_SLOTS = 2_000, 1 << 20, 1 << 16
 LONG = 1 << 62
 
 
-def shares(weights: dict[str, float], period: int | None = None) -> dict[str, int]:
-    """The least whole numbers in exactly the ratio of the weights as they are written in decimals; nothing is rounded to ``period``."""
+def shares(weights: dict[str, float]) -> dict[str, int]:
+    """The least whole numbers in exactly the ratio of the weights as they are written in decimals."""
     exact = {s: Fraction(str(w)) for s, w in weights.items() if math.isfinite(w) and w >= 0}
     if len(exact) < len(weights):
         raise ValueError(f"weights must be finite and not negative: {sorted(set(weights) - set(exact))[:5]}")
@@ -89,47 +91,65 @@ def plan(blocks: dict[str, int], slots: dict[str, int]) -> tuple[list[dict], lis
     return phases, patterns
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = 16, period: int = 1000, bucket_rows: int = 20_000) -> DataFrame:
+def planned(rows: dict[str, int], weights: dict[str, int], block_rows: int) -> tuple[int, list[dict], list[dict]]:
+    """Rows of a block, phases and patterns. A plan has as many slots as the period or as there are blocks, whichever is
+    less; only where both are over MOST_SLOTS, blocks get twice the rows until they are not."""
+    while True:
+        blocks = {s: -(-n // block_rows) for s, n in rows.items()}
+        if min(sum(blocks.values()), sum(weights.values())) <= MOST_SLOTS or sum(weights.values()) == 0:
+            return block_rows, *plan(blocks, weights)
+        block_rows *= 2
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = 16, bucket_rows: int = 2_000) -> DataFrame:
     """``docs`` with mix_block, mix_slot and mix_position (replaced if there): their place in the mixed order.
 
     ``weights`` are targets by source; a source that is not named has weight 1, with None all are equal; one of weight
-    zero comes last. The ratios are kept exactly, so ``period`` has no effect any more. A null source
-    is a source of its own, the empty name. Every row is kept and placed once, repeated rows and null ids too; the order inside
-    a source is by a hash of the id. An empty table gives an empty result. More than MOST_SOURCES sources are refused.
+    zero comes last. The ratios are kept exactly. A null source is a source of its own, the empty name. Every row is kept
+    and placed once, repeated rows and null ids too; the order inside a source is by a hash of the whole row. An empty
+    table gives an empty result. More than MOST_SOURCES sources are refused.
     """
     spark = docs.sparkSession
     docs = docs.drop("mix_block", "mix_slot", "mix_position")
+    source, order, bucket, coarse, before, rank, phase, turn, of_phase, of_source, at_turn, at_slot = (free_name(docs, n) for n in "_source _order _bucket _coarse _before _rank _phase _turn _of_phase _of_source _at_turn _at_slot".split())
     name = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    keyed = docs.withColumn("_source", name).withColumn("_order", F.xxhash64("doc_id"))
-    # Buckets by ranges of the hash bound a window's rows, also for a source with a third of all of them.
-    total = keyed.count()
-    buckets = 1 << max(0, (total // bucket_rows)).bit_length()
-    keyed = keyed.withColumn("_bucket", F.shiftrightunsigned(F.col("_order"), 64 - buckets.bit_length() + 1) if buckets > 1 else F.lit(0).cast("long"))
-    per = keyed.groupBy("_source", "_bucket").agg(F.count("*").alias("n"))
-    per = per.withColumn("_before", F.sum("n").over(Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)))
-    per = per.select("_source", "_bucket", F.coalesce("_before", F.lit(0)).alias("_before"))
-    sizes = {r["_source"]: -(-r["n"] // block_rows) for r in keyed.groupBy("_source").agg(F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()}
-    if len(sizes) > MOST_SOURCES:
+    # The whole row goes into the hash, so that rows with one id, or none, are spread as well.
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    keyed = docs.withColumn(source, name).withColumn(order, F.xxhash64(F.col("doc_id"), F.xxhash64(*hashed)))
+    rows = {r[source]: r["n"] for r in keyed.groupBy(source).agg(F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()}
+    if len(rows) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
-    if not sizes:
+    if not rows:
         return docs.select("*", *[F.lit(None).cast("long").alias(c) for c in ("mix_block", "mix_slot", "mix_position")])
-    wanted = {s: float((weights or {}).get(s, 1.0)) for s in sizes}
-    phases, patterns = plan(sizes, shares(wanted, period))
-
-    def table(rows: list[dict], ddl: str) -> DataFrame:
-        return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{ddl}>>")).alias("r")).select("r.*")
-
-    phases = table(phases, "source: string, phase: bigint, first: bigint, until: bigint, begin: bigint, q: bigint, n: bigint")
-    # Blocks get slots before rows are touched: as many rows as blocks, a hundredth of the documents or fewer.
-    spread = phases.select("source", "phase", "first", "begin", "q", "n", F.explode(F.expr("IF(until > first, sequence(first, until - 1), array())")).alias("block"))
-    pattern = table(patterns, "phase: bigint, source: string, slots: array<bigint>")
-    pattern = pattern.select("phase", "source", F.posexplode("slots").alias("turn", "slot"))
-    placed = spread.withColumn("turn", (F.col("block") - F.col("first")) % F.col("q")).join(pattern, ["phase", "source", "turn"])
-    placed = placed.select(F.col("source").alias("_source"), F.col("block").alias("mix_block"), (F.col("begin") + F.floor((F.col("block") - F.col("first")) / F.col("q")) * F.col("n") + F.col("slot")).cast("long").alias("mix_slot"))
-
-    tie = [F.col("_order"), *[F.col(c) for c in ("doc_id",)]]
-    rank = F.row_number().over(Window.partitionBy("_source", "_bucket").orderBy(*tie)) - 1
-    ranked = keyed.withColumn("_rank", rank).join(per, ["_source", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
-    ranked = ranked.withColumn("mix_block", F.floor(F.col("_rank") / block_rows).cast("long"))
-    out = ranked.join(placed, ["_source", "mix_block"])
-    return out.select(*docs.columns, "mix_block", "mix_slot", (F.col("mix_slot") * block_rows + F.col("_rank") % block_rows).cast("long").alias("mix_position"))
+    # Buckets by ranges of the hash bound a window's rows, also for a source with a third of all of them; coarse ranges
+    # bound the windows that add up the buckets before.
+    bits = max(0, sum(rows.values()) // bucket_rows).bit_length()
+    keyed = keyed.withColumn(bucket, F.shiftrightunsigned(F.col(order), 64 - bits) if bits else F.lit(0).cast("long"))
+    per = keyed.groupBy(source, bucket).agg(F.count("*").alias("n")).withColumn(coarse, F.shiftrightunsigned(F.col(bucket), bits // 2))
+    earlier = lambda by, at: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wide = per.groupBy(source, coarse).agg(F.sum("n").alias("n")).select(source, coarse, earlier([source], coarse).alias("base"))
+    per = per.withColumn("own", earlier([source, coarse], bucket)).join(wide, [source, coarse]).select(source, bucket, (F.col("base") + F.col("own")).alias(before))
+
+    wanted = {s: float((weights or {}).get(s, 1.0)) for s in rows}
+    block_rows, phases, patterns = planned(rows, shares(wanted), block_rows)
+
+    def table(found: list[dict], ddl: str) -> DataFrame:
+        return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(found)), f"array<struct<{ddl}>>")).alias("r")).select("r.*")
+
+    # A source's phases follow each other, so the phase of a block is the last that starts at or before it.
+    phases = table([p for p in phases if p["until"] > p["first"]], "source: string, phase: bigint, first: bigint, until: bigint, begin: bigint, q: bigint, n: bigint")
+    phases = phases.groupBy(F.col("source").alias(source)).agg(F.array_sort(F.collect_list(F.struct("first", "phase", "begin", "q", "n"))).alias(phase))
+    pattern = table(patterns, "phase: bigint, source: string, slots: array<bigint>").select(F.col("phase").alias(of_phase), F.col("source").alias(of_source), F.posexplode("slots").alias(at_turn, at_slot))
+    small = sum(len(p["slots"]) for p in patterns) <= BROADCAST_SLOTS
+
+    in_bucket = F.row_number().over(Window.partitionBy(source, bucket).orderBy(order, "doc_id")) - 1
+    ranked = keyed.withColumn(rank, in_bucket).join(per, [source, bucket]).withColumn(rank, F.col(rank) + F.col(before))
+    ranked = ranked.withColumn("mix_block", F.floor(F.col(rank) / block_rows).cast("long"))
+    ranked = ranked.join(F.broadcast(phases), source).withColumn(phase, F.element_at(F.filter(phase, lambda p: p["first"] <= F.col("mix_block")), -1))
+    since = F.col("mix_block") - F.col(f"{phase}.first")
+    ranked = ranked.withColumn(turn, since % F.col(f"{phase}.q"))
+    out = ranked.join(F.broadcast(pattern) if small else pattern, (F.col(source) == F.col(of_source)) & (F.col(f"{phase}.phase") == F.col(of_phase)) & (F.col(turn) == F.col(at_turn)))
+    slot = (F.col(f"{phase}.begin") + F.floor(since / F.col(f"{phase}.q")) * F.col(f"{phase}.n") + F.col(at_slot)).cast("long")
+    out = out.withColumn("mix_slot", slot)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*own, "mix_block", "mix_slot", (F.col("mix_slot") * block_rows + F.col(rank) % block_rows).cast("long").alias("mix_position"))
