@@ -22,12 +22,14 @@ def _of_documents(df: DataFrame) -> DataFrame:
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go. It is fitted on labelled rows of ``docs``."""
+    docs = docs.select(*COLUMNS)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.quality_scores(docs, model).where("predicted = 1").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents repeat stay in the last of them only; a null text stays null."""
+    docs = docs.select(*COLUMNS)
     return _of_documents(LineDedup(spark).build(docs).apply(docs))
 
 
@@ -36,6 +38,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that repeat an id are one document, of which one row stays.
     """
+    docs = docs.select(*COLUMNS)
     gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_repeated"))
     left = docs.join(gone, docs.doc_id == gone["_gone"], "left_anti")
@@ -46,12 +49,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak a benchmark item go."""
-    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+    return without_leaks(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its place in the mixed order; all sources have the same target weight."""
-    return mix(docs).select(*COLUMNS, "mix_block", "mix_slot", "mix_position")
+    return mix(docs.select(*COLUMNS)).select(*COLUMNS, "mix_block", "mix_slot", "mix_position")
 
 
 STAGES = [("quality", quality_classifier), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mixing", mixing)]
