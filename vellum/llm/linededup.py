@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, replaced, small_batches, with_fields
+from .common import Scratch, free_name, replaced, small_batches, with_fields
 
 BLANK = " \t\n\x0b\x0c\r"
 SLOTS, KICKS, SHARD_KEYS = 4, 500, 1 << 15
@@ -133,8 +133,8 @@ class LineDedup:
         return narrow.mapInArrow(_refs(self.min_chars), "key binary, doc_id long")
 
     def build(self, docs: DataFrame) -> LineDedup:
-        """Index a whole table at once."""
-        self.refs = self._extract(docs).distinct()
+        """Index a whole table at once. The reference table is written, so that later changes don't depend on the source."""
+        self.refs = self.scratch.keep(self._extract(docs).distinct(), "refs")
         self.counts = self.scratch.keep(self._count(self.refs), "counts")
         self._all_filters()
         return self
@@ -163,7 +163,8 @@ class LineDedup:
         moved = old.select("key", F.col("n_docs").alias("before")).join(now, "key", "full").where(is_in != was_in).select("key", is_in.alias("add"))
         moved = self.scratch.keep(moved, "moved")
         self.counts = self.scratch.keep(self.counts.join(touched, "key", "left_anti").unionByName(now), "counts")
-        if self.filters.isEmpty():
+        held = self.filters.agg(F.coalesce(F.sum("n_keys"), F.lit(0))).first()[0] + moved.where("add").count()
+        if held > 2 * SHARD_KEYS * self.shards or self.filters.isEmpty():  # more shards, each with room again
             self._all_filters()
             return self
         shards = self.shards
@@ -239,14 +240,15 @@ class LineDedup:
         null doc_id count for no line and lose none. Rows that repeat a doc_id count once for a line and lose the same
         lines. A text that loses all of its lines becomes empty.
         """
-        lost = self.drops(docs).withColumnRenamed("doc_id", "_lost_of")
-        wide = docs.join(lost, F.col("doc_id").cast("long") == F.col("_lost_of"), "left").drop("_lost_of")
+        owner, keys_name = free_name(docs, "_lost_of"), free_name(docs, "_lost_keys")
+        lost = self.drops(docs).select(F.col("doc_id").alias(owner), F.col("lost_keys").alias(keys_name))
+        wide = docs.join(lost, F.col("doc_id").cast("long") == F.col(owner), "left").drop(owner)
         least = self.min_chars
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in small_batches(batches, 500):
                 texts, n, gone, digests = [], [], [], []
-                for t, keys in zip(b.column("text").to_pylist(), b.column("lost_keys").to_pylist(), strict=True):
+                for t, keys in zip(b.column("text").to_pylist(), b.column(keys_name).to_pylist(), strict=True):
                     lines = (t or "").split("\n")
                     kept = lines
                     if keys:
@@ -257,7 +259,7 @@ class LineDedup:
                     n.append(len(lines))
                     gone.append(len(lines) - len(kept))
                     digests.append(hashlib.sha256(out.encode("utf-8", "replace")).hexdigest())
-                b = b.select([c for c in b.schema.names if c != "lost_keys"])
+                b = b.select([c for c in b.schema.names if c != keys_name])
                 yield replaced(b, text=pa.array(texts, pa.string()), n_lines=pa.array(n, pa.int64()), n_dropped=pa.array(gone, pa.int64()), kept_sha256=pa.array(digests, pa.string()))
 
         return wide.mapInArrow(cut, with_fields(docs, "text string, n_lines long, n_dropped long, kept_sha256 string"))
