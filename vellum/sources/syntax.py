@@ -13,6 +13,7 @@ DELIMITERS = b"()<>[]{}/%"
 TOKEN = re.compile(rb"[^\0\t\n\x0c\r ()<>\[\]{}/%]+")
 NUMBER = re.compile(rb"[+-]?(?:\d+\.?\d*|\.\d+)$")
 REFERENCE = re.compile(rb"(\d+)[\0\t\n\x0c\r ]+(\d+)[\0\t\n\x0c\r ]+R(?![^\0\t\n\x0c\r ()<>\[\]{}/%])")
+IN_STRING = re.compile(rb"[\\()\r]")
 ESCAPES = {0x6E: 10, 0x72: 13, 0x74: 9, 0x62: 8, 0x66: 12}
 MOST_DEPTH = 200
 
@@ -119,8 +120,13 @@ class Parser:
     def string(self) -> bytes:
         data, at, depth, out = self.data, self.at + 1, 1, bytearray()
         while at < len(data):
-            c = data[at]
-            at += 1
+            m = IN_STRING.search(data, at)
+            stop = m.start() if m else len(data)
+            out += data[at:stop]
+            at = min(stop + 1, len(data))
+            if m is None:
+                break
+            c = data[stop]
             if c == 0x5C and at < len(data):
                 c = data[at]
                 at += 1
