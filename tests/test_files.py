@@ -116,6 +116,7 @@ def test_core_fonts():
     expert = Font(d, {"Subtype": Name("Type1"), "BaseFont": Name("X"), "Encoding": Name("MacExpertEncoding")})
     assert "".join(t for t, _, _ in expert.characters(b"\x61\x31\x2e\xda\xbc\x87\x56\x7d")) == "a1.¹₀áﬀRp"
     assert [scalars.glyph_text(g) for g in ("afii10017", "afii10071", "universal", "dcroat", "Aacutesmall", "threesuperior", "twoinferior", "sevenoldstyle")] == ["А", "ё", "∀", "đ", "á", "³", "₂", "7"]
+    assert [scalars.glyph_text(g) for g in ("becyrillic", "Zhecyrillic", "alefhebrew", "kahiragana", "akatakana", "nothing")] == ["б", "Ж", "א", "か", "ア", ""]
     afm = read_afm("FontName X\nKPX A V -70\nKPX V A -60\n")
     assert kern(afm, list("AVA")) == -130 and kern(afm, []) == 0
 

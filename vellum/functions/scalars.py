@@ -58,6 +58,20 @@ def _numbered(n: int) -> str:
     return ""
 
 
+# Scripts whose letters have glyph names of the letter's own name and the script's.
+SCRIPTS = re.compile("(.+?)(cyrillic|hebrew|arabic|hiragana|katakana|bopomofo)")
+
+
+def _letter(name: str, script: str) -> str:
+    case = "CAPITAL " if name[0].isupper() else "SMALL "
+    for kind in (case if script == "cyrillic" else "", "SMALL " if name.endswith("small") else ""):
+        try:
+            return unicodedata.lookup(f"{script.upper()} {kind}LETTER {name.removesuffix('small').upper()}")
+        except KeyError:
+            continue
+    return ""
+
+
 def glyph_text(name: str) -> str:
     """The text of a glyph name: the part before a dot, joined parts, ``uniXXXX`` and ``uXXXX`` forms, listed and rule-made names; else empty."""
     out = []
@@ -77,6 +91,8 @@ def glyph_text(name: str) -> str:
             out.append(unicodedata.lookup(f"GREEK {'CAPITAL' if part[0].isupper() else 'SMALL'} LETTER {part.upper().replace('LAMBDA', 'LAMDA')}"))
         elif m := re.fullmatch(r"afii(\d{5})", part):
             out.append(_numbered(int(m[1])))
+        elif (m := SCRIPTS.fullmatch(part)) and (letter := _letter(m[1], m[2])):
+            out.append(letter)
         elif m := VARIANTS.fullmatch(part):
             base = glyph_text(m[1]) or glyph_text(m[1].lower())
             if m[2] == "small":
