@@ -9,9 +9,11 @@ about 1e-5. Candidates are confirmed on the full shingle sets.
 A finer signature of 512 single bits, of which pairs at 0.75 differ in 64 on average and in more than 95 with a
 probability of about 1e-5, thins the candidates inside the joins. Work is kept near linear in the size of groups:
 documents with equal sets are one class; each key first links its members to one pivot only (keys use eight orders, so
-that a group has about eight pivots), and what is under both distances makes families. Inside a family all pairs are
-confirmed on the full sets by an inverted index, each text moved once; pairs of different families that share a key are
-compared under both distances and a size ratio inside a join, and confirmed one by one. So every pair is considered.
+that a group has about eight pivots), and what is under both distances makes families. Inside a family each member's
+link to its smallest neighbour is confirmed on the full sets; only members that this leaves outside the family's largest
+part are compared with all others, by an inverted index, so a group of copies costs its size and not its square. Pairs of
+different families that share a key are compared under both distances and a size ratio inside a join, and confirmed one
+by one. So every pair is considered or already connected.
 """
 
 from __future__ import annotations
@@ -193,8 +195,12 @@ def near_duplicates(docs: DataFrame, need: int = 75, whole: int = 100) -> DataFr
     star = met.where("class_id <> pivot").select(F.least("pivot", "class_id").alias("a"), F.greatest("pivot", "class_id").alias("b")).distinct()
     x, y = slim.alias("x"), slim.alias("y")
     near = star.join(y, F.col("b") == F.col("y.class_id")).join(x, F.col("a") == F.col("x.class_id")).where(_sizes("x", "y", need, whole) & close("x", "y")).select("a", "b")
+    near = scratch.keep(near, "near")
     families = scratch.keep(components(near, scratch), "families")
-    inside = scratch.keep(_within(narrow, slim, families, need, whole), "inside")
+    # One link a member is confirmed first, that to its smallest neighbour; what this connects needs no further pairs.
+    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    tree = _verified(scratch, narrow, both.groupBy("b").agg(F.min("a").alias("a")).where("a < b").select("a", "b"), need, whole)
+    inside = tree.unionByName(scratch.keep(_within(narrow, slim, families, components(tree, scratch), need, whole), "inside"))
 
     # What is left: pairs that share a key and stand in different families.
     left = met.join(families, met.class_id == families.node, "left").select("key", "class_id", F.coalesce("root", "class_id").alias("root"))
@@ -223,6 +229,8 @@ def _links(need: int, whole: int):
 
     def run(table: pa.Table) -> pa.Table:
         ids, sides = table.column("class_id").to_numpy(), table.column("side").to_numpy()
+        if sides.min() == 1:  # the other block is empty
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         sets = [s for _, raw in slices(table.column("text").to_pylist()) for s in shingle_sets(raw)]
         sizes = np.array([len(s) for s in sets])
         owners = np.repeat(np.arange(len(sets)), sizes)
@@ -256,17 +264,23 @@ def _links(need: int, whole: int):
     return run
 
 
-def _within(docs: DataFrame, slim: DataFrame, families: DataFrame, need: int, whole: int) -> DataFrame:
-    """Confirmed links (a, b) that connect what is similar inside each family, all pairs considered.
+def _within(docs: DataFrame, slim: DataFrame, families: DataFrame, linked: DataFrame, need: int, whole: int) -> DataFrame:
+    """Confirmed links (a, b) that connect what is similar inside each family.
 
-    A family with more shingles than BLOCK is cut into blocks by a hash, and each pair of blocks is a task of its own, so
-    a task's memory is bounded by two blocks; a text moves as often as its family has blocks, mostly once.
+    ``linked`` says what is known to be connected. The largest part of a family is left as it is; every other member is
+    compared with all members. Both kinds are cut by a hash into blocks of about BLOCK shingles; two blocks are a task,
+    so a task's memory is bounded, and a family that is connected already has no task at all.
     """
     sized = slim.select("class_id", "n_shingles").join(families, F.col("class_id") == F.col("node")).select("class_id", "root", "n_shingles")
-    blocks = sized.groupBy("root").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks"))
-    placed = sized.select("class_id", "root").join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("class_id"), "blocks").cast("int"))
-    # Block i meets every block j >= i; its own members are side 0 where it comes first.
-    placed = placed.select("class_id", "root", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    sized = sized.join(linked.select(F.col("node").alias("class_id"), F.col("root").alias("part")), "class_id", "left").withColumn("part", F.coalesce("part", "class_id"))
+    parts = sized.groupBy("root", "part").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
+    most = parts.groupBy("root").agg(F.max(F.struct("n", "part", "shingles")).alias("main"), F.sum("shingles").alias("all")).where("all > main.shingles")
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    most = most.select("root", F.col("main.part").alias("main"), blocks(F.col("all") - F.col("main.shingles")).alias("few"), blocks(F.col("main.shingles")).alias("many"))
+    placed = sized.select("class_id", "root", "part").join(most, "root")
+    rest, own = F.col("part") != F.col("main"), F.pmod(F.xxhash64("class_id"), F.when(F.col("part") != F.col("main"), F.col("few")).otherwise(F.col("many"))).cast("int")
+    # Blocks 0 to few - 1 are of the rest, the next ones of the main part; a block of the rest meets all, one of the main part only those.
+    placed = placed.select("class_id", "root", F.when(rest, own).otherwise(own + F.col("few")).alias("own"), F.explode(F.when(rest, F.sequence(F.lit(0), F.col("few") + F.col("many") - 1)).otherwise(F.sequence(F.lit(0), F.col("few") - 1))).alias("other"))
     placed = placed.select("class_id", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
     rows = placed.join(docs.select(F.col("doc_id").alias("class_id"), "text"), "class_id")
     return rows.groupBy("root", "i", "j").applyInArrow(_links(need, whole), "a long, b long")
