@@ -197,11 +197,12 @@ def search(prints: DataFrame, every: int = 50, most_errors: float = 0.1) -> Data
     A row for each recording: rec_id, n_frames, class_id (smallest id with the same print), is_query, and for queries
     ``matches``: an array of (class_id, offset, error) of all other classes that align with at most ``most_errors``
     differing bits over 8 frames or more. Every query is compared with every class at every offset, so no pair is missed;
-    the work grows with queries times classes. A null id is its own class without matches; a print of under 8 frames
-    matches nothing.
+    the work grows with queries times classes. A null id has no class and no matches; a print of under 8 frames matches
+    nothing, and an empty print is a class of its own. Rows that repeat an id are rows of the result each. An empty table
+    gives an empty result; other columns of ``prints`` play no part.
     """
     scratch = Scratch(prints.sparkSession, "chroma")
-    prints = scratch.keep(prints, "prints")
+    prints = scratch.keep(prints.select("rec_id", "n_frames", "print"), "prints")
     classes = prints.where("rec_id is not null and n_frames > 0").groupBy("print").agg(F.min("rec_id").alias("class_id"), F.max((F.col("rec_id") % every == 0).cast("int")).alias("asked"))
     classes = scratch.keep(classes, "classes")
 
@@ -242,7 +243,8 @@ def search(prints: DataFrame, every: int = 50, most_errors: float = 0.1) -> Data
     found = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("class_id", "offset", "error"))).alias("matches"))
     out = prints.join(classes.select("print", F.col("class_id").alias("own")), "print", "left").join(found, F.col("own") == F.col("query_id"), "left")
     is_query = F.coalesce(F.col("rec_id") % every == 0, F.lit(False))
-    return out.select("rec_id", "n_frames", F.coalesce("own", "rec_id").alias("class_id"), is_query.alias("is_query"), F.when(is_query, F.coalesce("matches", F.expr("array()").cast("array<struct<class_id:bigint,offset:bigint,error:double>>"))).alias("matches"))
+    own_class = F.when(F.col("rec_id").isNotNull(), F.coalesce("own", "rec_id"))
+    return out.select("rec_id", "n_frames", own_class.alias("class_id"), is_query.alias("is_query"), F.when(is_query, F.coalesce("matches", F.expr("array()").cast("array<struct<class_id:bigint,offset:bigint,error:double>>"))).alias("matches"))
 
 
 def render(vectors: DataFrame) -> DataFrame:
