@@ -29,7 +29,7 @@ from .common import Scratch, mix64, slices, small_batches
 from .words import shingle_sets
 
 POSITIONS, CHUNK, MOST = 64, 4, 31
-PIVOTS, BLOCK, TASK_EDGES = 8, 1_000_000, 1_000_000
+PIVOTS, BLOCK, LEAST_BLOCK, TASK_EDGES = 8, 1_000_000, 1 << 13, 1_000_000
 LANES = POSITIONS // 4
 SIG = [f"s{i}" for i in range(LANES)]
 FINE, MOST_FINE = 512, 95
@@ -268,15 +268,17 @@ def _within(docs: DataFrame, slim: DataFrame, families: DataFrame, linked: DataF
     """Confirmed links (a, b) that connect what is similar inside each family.
 
     ``linked`` says what is known to be connected. The largest part of a family is left as it is; every other member is
-    compared with all members. Both kinds are cut by a hash into blocks of about BLOCK shingles; two blocks are a task,
-    so a task's memory is bounded, and a family that is connected already has no task at all.
+    compared with all members. Both kinds are cut by a hash into blocks of at most about BLOCK shingles; two blocks are a
+    task, so a task's memory is bounded, and a family that is connected already has no task at all.
     """
     sized = slim.select("class_id", "n_shingles").join(families, F.col("class_id") == F.col("node")).select("class_id", "root", "n_shingles")
     sized = sized.join(linked.select(F.col("node").alias("class_id"), F.col("root").alias("part")), "class_id", "left").withColumn("part", F.coalesce("part", "class_id"))
     parts = sized.groupBy("root", "part").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
     most = parts.groupBy("root").agg(F.max(F.struct("n", "part", "shingles")).alias("main"), F.sum("shingles").alias("all")).where("all > main.shingles")
-    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
-    most = most.select("root", F.col("main.part").alias("main"), blocks(F.col("all") - F.col("main.shingles")).alias("few"), blocks(F.col("main.shingles")).alias("many"))
+    most = most.select("root", F.col("main.part").alias("main"), F.col("main.shingles").alias("own"), (F.col("all") - F.col("main.shingles")).alias("rest"))
+    # Blocks of the main part are about as large as the rest, whose blocks are copied to each of them.
+    size = F.least(F.lit(BLOCK), F.greatest(F.lit(LEAST_BLOCK), "rest"))
+    most = most.select("root", "main", F.ceil(F.col("rest") / BLOCK).cast("int").alias("few"), F.ceil(F.col("own") / size).cast("int").alias("many"))
     placed = sized.select("class_id", "root", "part").join(most, "root")
     rest, own = F.col("part") != F.col("main"), F.pmod(F.xxhash64("class_id"), F.when(F.col("part") != F.col("main"), F.col("few")).otherwise(F.col("many"))).cast("int")
     # Blocks 0 to few - 1 are of the rest, the next ones of the main part; a block of the rest meets all, one of the main part only those.
