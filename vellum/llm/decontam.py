@@ -3,7 +3,7 @@
 Texts are sequences of lower-cased words. A document leaks an item of n words when a window is within an edit
 distance of ``rate`` * n words of it. Windows start at every word of a document.
 
-Three steps find candidates. The first is lossless: an edit changes at most two pairs of neighbouring words, so a window
+Three steps find candidates. The first loses none: an edit changes at most two pairs of neighbouring words, so a window
 can only be within d edits of an item if at least n - 1 - 2d of its n - 1 pairs occur in the benchmark; a running sum
 gives this for all starts of all documents. For the starts that pass, the CGK random walk (Chakraborty, Goldenberg,
 Koucky) turns edit distance into Hamming distance: it reads the window word by word, writes the word at each step, and a
@@ -17,6 +17,7 @@ Candidates are verified by the exact edit distance.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, mix64, slices, small_batches
+from .common import bounded_batches, free_name, mix64, slices, small_batches
 from .words import words_of
 
 GAP = np.uint64(0x5851F42D4C957F2D)
@@ -243,19 +244,26 @@ class BenchmarkIndex:
                 best[k] = got[0], lo + got[1]
 
 
-def _blocks(benchmark: DataFrame, limit: int) -> list[list[tuple[int, str]]]:
-    """The items in blocks of at most ``limit`` bytes; each is held by every executor for one pass over the documents."""
-    out: list[list[tuple[int, str]]] = []
-    size = limit + 1
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct().orderBy("item_id", "text")
-    for r in items.toLocalIterator():
-        n = len(r.text.encode("utf-8", "replace"))
-        if size + n > limit:
-            out.append([])
-            size = 0
-        out[-1].append((r.item_id, r.text))
-        size += n
-    return out
+def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of about ``limit`` bytes by a hash of the id, one block at a time on the driver; each is held by every executor for one pass over the documents."""
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
+    total = items.agg(F.sum(F.length(F.col("text").cast("binary")))).first()[0] or 0
+    n = -(-total // limit)
+    for k in range(n):
+        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()
+        if rows:
+            yield sorted((r.item_id, r.text) for r in rows)
+
+
+INDEXES: dict[str, BenchmarkIndex] = {}
+
+
+def _index(token: str, sent, *options) -> BenchmarkIndex:
+    """The index of a block, made once by each Python worker; one is held at a time."""
+    if token not in INDEXES:
+        INDEXES.clear()
+        INDEXES[token] = BenchmarkIndex(sent.value, *options)
+    return INDEXES[token]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, repetitions: int = 32, samples: int = 3, block_bytes: int = 16 << 20) -> DataFrame:
@@ -263,8 +271,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, repetitions:
 
     Items under three words, null items and null texts match nothing; documents are read whole, and rows that repeat a
     doc_id are judged one by one (their equal matches are one row). A null doc_id comes back as null. An empty
-    benchmark or document table gives an empty result. The benchmark is cut into blocks of ``block_bytes``; a larger
-    one costs more passes over the documents and no more memory.
+    benchmark or document table gives an empty result. The benchmark is cut into blocks of about ``block_bytes``: each
+    costs a pass over the documents, and a broadcast that Spark may move to disk.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -272,10 +280,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, repetitions:
     schema = "doc_id long, item_id long, first_word long, n_words long, edit_distance long"
     parts = []
     for block in _blocks(benchmark, block_bytes):
-        sent = spark.sparkContext.broadcast(block)
+        sent, token = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = BenchmarkIndex(sent.value, rate, repetitions, samples)
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, token=token) -> Iterator[pa.RecordBatch]:
+            index = _index(token, sent, rate, repetitions, samples)
             length = dict(zip(index.ids, map(len, index.words), strict=True))
             for b in small_batches(batches):
                 ids, rows = b.column("doc_id").to_pylist(), []
@@ -299,5 +307,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, repetitions:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that leak no item; all columns as they were. Rows with a null doc_id stay."""
-    found = leaks(docs, benchmark, **options).where("doc_id is not null").select(F.col("doc_id").alias("_leaks")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long") == F.col("_leaks"), "left_anti")
+    name = free_name(docs, "_leaks")
+    found = leaks(docs, benchmark, **options).where("doc_id is not null").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(found, F.col("doc_id").cast("long") == F.col(name), "left_anti")
