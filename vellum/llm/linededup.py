@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, free_name, replaced, small_batches, with_fields
 
 BLANK = " \t\n\x0b\x0c\r"
-SLOTS, KICKS, SHARD_KEYS = 4, 500, 1 << 15
+SLOTS, KICKS, SHARD_KEYS, BROADCAST_KEYS = 4, 500, 1 << 15, 1 << 18
 
 
 class Cuckoo:
@@ -230,7 +230,11 @@ class LineDedup:
             lines = narrow.mapInArrow(possible, "key binary, doc_id long")
         else:
             lines = self._extract(narrow)
-        lost = lines.join(self.blocked(), "key").where("doc_id <> last_doc")
+        # A line of very many documents is one key of the join: few blocked keys are broadcast, more are left to Spark's skew handling.
+        blocked = self.blocked()
+        if (self.filters.agg(F.sum("n_keys")).first()[0] or 0) <= BROADCAST_KEYS and self.broadcast_limit > 0:
+            blocked = F.broadcast(blocked)
+        lost = lines.join(blocked, "key").where("doc_id <> last_doc")
         return lost.groupBy("doc_id").agg(F.collect_set("key").alias("lost_keys"))
 
     def apply(self, docs: DataFrame) -> DataFrame:
