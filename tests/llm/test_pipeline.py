@@ -31,6 +31,27 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(made["mixing"])
 
 
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Each stage alone: extra columns that are called like the operators' own, very long texts, repeated and null ids."""
+    rng = random.Random(12)
+    rows = [(i, text(rng, 30), "en", f"s{i % 2}", 1, "a", "b", "c", "d", "e") for i in range(30)]
+    rows += [(50, text(rng, 60_000), "en", "s0", 1, *"abcde"), (51, "x" * 300_000, None, None, None, *"abcde"), (None, None, None, None, None, *"abcde"), rows[0], rows[0]]
+    docs = spark.createDataFrame(rows, DOC + ", _gone string, _repeated string, _leaks string, lost_keys string, Score string")
+    spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, rows[3][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns[:5] == corpus_pipeline.COLUMNS and len(out.columns) == (8 if name == "mixing" else 5)
+        got = out.collect()
+        assert {50, 51} <= {r.doc_id for r in got} or name == "quality"
+        if name == "near_dedup":
+            assert len(got) == len({r.doc_id for r in got}) == 33
+        elif name == "decontaminate":
+            assert len(got) == 34 and 3 not in {r.doc_id for r in got}
+        elif name != "quality":
+            assert len(got) == 35
+
+
 def test_no_rows(spark, tmp_path):
     spark.createDataFrame([], DOC).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
