@@ -4,7 +4,7 @@ A merge of the vocabulary only ever makes a piece of the vocabulary. So where no
 right of a boundary next to each other, no merge crosses it, whatever stands around: the boundary is stable, and the
 tokens on either side do not depend on the other side. Chunks of a huge document overlap; each is encoded with the
 offsets of its tokens, and two neighbours are spliced at the first offset of the overlap where both have a token end and
-the boundary is stable. If an overlap holds none, it is widened, in the end to the rest of the document.
+the boundary is stable. If an overlap holds none, it is widened, and the chunk then doubled, in the end to the rest of the document.
 """
 
 from __future__ import annotations
@@ -73,28 +73,33 @@ class PieceCounter:
     def stable(self, marked: str, at: int) -> bool:
         return marked[at] == SPACE_MARK and marked[at - 1 : at + 1] not in self.crossed
 
+    def next_stable(self, marked: str, start: int, stop: int) -> int | None:
+        at = marked.find(SPACE_MARK, start, stop)
+        while at >= 0 and not self.stable(marked, at):
+            at = marked.find(SPACE_MARK, at + 1, stop)
+        return at if at >= 0 else None
+
     def long(self, text: str) -> int:
         marked = SPACE_MARK + text.replace(" ", SPACE_MARK)
-        total, done, start, stop = 0, 0, 0, min(len(marked), self.chunk)
-        ends = self.ends(marked, start, stop)
+        total, done, stop = 0, 0, min(len(marked), self.chunk)
+        ends = self.ends(marked, done, stop)
         while stop < len(marked):
-            overlap = self.overlap
-            while True:
+            overlap, splice = self.overlap, None
+            while splice is None:
                 lo = max(done + 1, stop - overlap)
-                nxt = next((k for k in range(lo, stop) if self.stable(marked, k)), None)
+                nxt = self.next_stable(marked, lo, stop)
                 if nxt is not None:
                     further = min(len(marked), nxt + self.chunk)
                     more = self.ends(marked, nxt, further)
                     both = set(more)
                     splice = next((e for e in ends[bisect_left(ends, nxt + 1) :] if e < stop and e in both and self.stable(marked, e)), None)
-                    if splice is not None:
-                        break
-                if lo == done + 1:  # nothing in reach: encode on from the last splice with a larger chunk
-                    further = min(len(marked), stop + self.chunk)
-                    ends, stop, splice = self.ends(marked, done, further), further, None
+                if lo == done + 1:
                     break
                 overlap *= 2
-            if splice is not None:
+            if splice is None:  # nothing in reach: encode on from the last splice with a chunk of twice the size
+                stop = min(len(marked), done + 2 * (stop - done))
+                ends = self.ends(marked, done, stop)
+            else:
                 total += bisect_left(ends, splice + 1) - bisect_left(ends, done + 1)
                 ends, done, stop = more[bisect_left(more, splice + 1) :], splice, further
         return total + len(ends) - bisect_left(ends, done + 1)
