@@ -72,6 +72,12 @@ def test_filter_edges():
     assert filters.unpredict(rows, {"Predictor": 15, "Columns": 2}) == bytes([1, 2, 1, 2, 2, 6, 2, 7])
 
 
+def test_lzw_ends_at_every_width():
+    raw = bytes((i * i * 7 + i // 3) % 251 for i in range(2200))
+    for n in (*range(240, 270), *range(740, 1000), *range(1700, 2200)):
+        assert filters.lzw(queries.lzw_encode(raw[:n])) == raw[:n]
+
+
 def test_ciphers():
     assert security.rc4(b"Key", b"Plaintext").hex() == "bbf316e8d940af0ad3"
     block = bytes.fromhex("00112233445566778899aabbccddeeff")

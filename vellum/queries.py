@@ -103,6 +103,8 @@ def lzw_encode(raw: bytes) -> bytes:
         w = bytes([b])
     if w:
         put(table[w])
+        nxt += 1  # the reader makes an entry for the last code too, and its widths count it
+        width = 9 + (nxt >= 512) + (nxt >= 1024) + (nxt >= 2048)
     put(257)
     if bits:
         out.append((acc << (8 - bits)) & 255)
