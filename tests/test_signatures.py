@@ -6,6 +6,8 @@ import pytest
 from pdf_writer import document, lines
 
 from vellum.plans import tables
+from vellum.sources import writer
+from vellum.sources.document import Document
 
 pytestmark = pytest.mark.skipif(not shutil.which("openssl"), reason="fixtures are signed by openssl")
 
@@ -38,3 +40,10 @@ def test_signature(spark, tmp_path):
     alone = tables.signatures(files).where("path = 'good'")
     assert "no trusted issuer" in alone.first().error_message
     assert tables.certificates(tables.signatures(files, trust_pem=root)).first().issuer == "CN=Root"
+
+
+@pytest.mark.parametrize("key", [11111, 22222, 33333, 133333])
+def test_byte_range_beside_equal_digits(key):
+    pdf = writer.signed_pdf(lambda data: data[:9], {"T": b"s%d" % key}, {"SubFilter": writer.Name("adbe.pkcs7.detached"), "Name": b"Customer#%09d" % key})
+    (s,) = Document(pdf).signatures()
+    assert s["fqt"] == f"s{key}" and s["name"] == f"Customer#{key:09d}" and s["covers_file"] and len(s["signed"]) == len(pdf) - 12002
