@@ -11,6 +11,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,13 +25,29 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+PART_ROWS, PART_BYTES = 200, 1 << 20
+
+
+def parts(b: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of PART_ROWS rows at most whose column has PART_BYTES at most (or one row), so that a worker holds the results of a slice and not of 10,000 rows."""
+    start, size = 0, 0
+    for i, n in enumerate(pc.binary_length(b.column(column)).to_pylist()):
+        if i > start and (i - start >= PART_ROWS or size + (n or 0) > PART_BYTES):
+            yield b.slice(start, i - start)
+            start, size = i, 0
+        size += n or 0
+    if b.num_rows:
+        yield b.slice(start)
+
+
 def _mapped(df: DataFrame, key: str, value: str, f: Callable[[str], bytes]) -> DataFrame:
     """(key, out) with f applied to each value in Arrow batches; null counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [f(v or "") for v in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=[key, "out"])
+            for part in parts(b, 1):
+                out = [f(v.as_py() or "") for v in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], names=[key, "out"])
 
     # The test tables are single row groups, which one task would read.
     narrow = df.select(F.col(key).cast("long").alias(key), F.col(value).cast("string").alias(value)).repartition(df.sparkSession.sparkContext.defaultParallelism)
