@@ -38,50 +38,124 @@ class KeyFile(NamedTuple):
     password: str
 
 
+#: Rows, and bytes of texts and contents, that a batch of rows is cut at: many small files share one, a large file takes several.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+
+
+def _reader(passwords: list[str | KeyFile]) -> Callable[[], Callable]:
+    """A function that gives, once in a task, the function from a file's content to its ``Document``."""
+    words, key_files = [p for p in passwords if isinstance(p, str)], [p for p in passwords if isinstance(p, KeyFile)]
+
+    def opened() -> Callable:
+        recipient = read_pkcs12(*key_files[0]) if key_files else None
+
+        def read(content: pa.BinaryScalar) -> Document:
+            if not content.is_valid:
+                raise BadFile("the file is missing or too large")
+            return Document(content.as_py(), words, recipient)
+
+        return read
+
+    return opened
+
+
+def _in_batches(batches: Iterator[pa.RecordBatch], schema: StructType, rows_of: Callable) -> Iterator[pa.RecordBatch]:
+    """The rows of every file (a list from its path and content) in batches bounded by rows and bytes."""
+    arrow, sized = to_arrow_schema(schema), [f.name for f in schema if f.dataType.typeName() in ("string", "binary")]
+    held, size = [], 0
+    for b in batches:
+        for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+            for r in rows_of(path, content):
+                held.append(r)
+                for c in sized:
+                    size += len(r.get(c) or "")
+                if len(held) >= BATCH_ROWS or size >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(held, schema=arrow)
+                    held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema=arrow)
+
+
 def _table(files: DataFrame, ddl: str, rows: Callable[[Document], Iterator[dict]], passwords: list[str | KeyFile], reports: bool = False) -> DataFrame:
     """``path`` and the rows that each file yields. With ``reports`` a bad file gives one row that has only ``error``."""
-    words, key_files = [p for p in passwords if isinstance(p, str)], [p for p in passwords if isinstance(p, KeyFile)]
+    opened = _reader(passwords)
     schema: StructType = _parse_datatype_string(f"path string, {ddl}" + (", error string" if reports else ""))
-    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recipient = read_pkcs12(*key_files[0]) if key_files else None
-        for b in batches:
-            for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
-                out = []
+        read = opened()
+
+        def rows_of(path, content) -> list[dict]:
+            try:
+                out = list(rows(read(content)))
+            except Exception as e:  # whatever is wrong with a file is that file's error
+                out = [{"error": f"{type(e).__name__}: {e}"}] if reports else []
+            for r in out:
+                r["path"] = path
+            return out
+
+        yield from _in_batches(batches, schema, rows_of)
+
+    return files.select("path", "content").mapInArrow(run, schema)
+
+
+def together(files: DataFrame, parts: dict[str, tuple[str, Callable[[Document], Iterator[dict]]]], passwords: list[str | KeyFile] = ()) -> DataFrame:
+    """Several tables from one reading of each file: path, and for each part (``DOCUMENTS``, ``INFO`` and so on) an array of its rows and ``<part>_error``, of which one is null. Stands for joins of these tables by path."""
+    opened = _reader(list(passwords))
+    schema: StructType = _parse_datatype_string("path string, " + ", ".join(f"{n} array<struct<{_fields(ddl)}>>, {n}_error string" for n, (ddl, _) in parts.items()))
+    errors = [f"{n}_error" for n in parts]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = opened()
+
+        def rows_of(path, content) -> list[dict]:
+            try:
+                d = read(content)
+            except Exception as e:
+                return [{"path": path, **dict.fromkeys(errors, f"{type(e).__name__}: {e}")}]
+            out = {"path": path}
+            for n, (_, rows) in parts.items():
                 try:
-                    if not content.is_valid:
-                        raise BadFile("the file is missing or too large")
-                    out = [{"path": path, **r} for r in rows(Document(content.as_py(), words, recipient))]
-                except Exception as e:  # whatever is wrong with a file is that file's error
-                    out = [{"path": path, "error": f"{type(e).__name__}: {e}"}] if reports else []
-                for at in range(0, len(out), 2000):
-                    yield pa.RecordBatch.from_pylist(out[at : at + 2000], schema=arrow)
+                    out[n] = list(rows(d))
+                except Exception as e:
+                    out[f"{n}_error"] = f"{type(e).__name__}: {e}"
+            return [out]
+
+        yield from _in_batches(batches, schema, rows_of)
 
     return files.select("path", "content").mapInArrow(run, schema)
 
 
+def _fields(ddl: str) -> str:
+    return _parse_datatype_string(ddl).simpleString().removeprefix("struct<").removesuffix(">")
+
+
+def _document_rows(d: Document) -> Iterator[dict]:
+    form = d.get(d.root.get("AcroForm")) or {}
+    ids = d.get(d.trailer.get("ID")) or []
+    yield {"version": d.version, "page_count": d.get((d.get(d.root.get("Pages")) or {}).get("Count")), "pages": len(d.pages()), "encrypted": d.security is not None, "permissions": d.security.permissions if d.security else None, "tagged": d.tagged(), "has_signature": bool(int(d.get(form.get("SigFlags")) or 0) & 1), "has_labels": d.root.get("PageLabels") is not None, "repaired": d.repaired, "header_offset": d.start, "ids": [i.hex() for i in ids if isinstance(i, bytes)]}
+
+
+DOCUMENTS = ("version string, page_count long, pages long, encrypted boolean, permissions long, tagged string, has_signature boolean, has_labels boolean, repaired boolean, header_offset long, ids array<string>", _document_rows)
+
+
 def documents(files: DataFrame, passwords: list[str] = ()) -> DataFrame:
     """One row a file: version, page_count (as the root of the page tree says), pages, encrypted, tagged, has_signature, has_labels, repaired, ids, error."""
+    return _table(files, *DOCUMENTS, list(passwords), True)
 
-    def rows(d: Document):
-        form = d.get(d.root.get("AcroForm")) or {}
-        ids = d.get(d.trailer.get("ID")) or []
-        yield {"version": d.version, "page_count": d.get((d.get(d.root.get("Pages")) or {}).get("Count")), "pages": len(d.pages()), "encrypted": d.security is not None, "permissions": d.security.permissions if d.security else None, "tagged": d.tagged(), "has_signature": bool(int(d.get(form.get("SigFlags")) or 0) & 1), "has_labels": d.root.get("PageLabels") is not None, "repaired": d.repaired, "header_offset": d.start, "ids": [i.hex() for i in ids if isinstance(i, bytes)]}
 
-    return _table(files, "version string, page_count long, pages long, encrypted boolean, permissions long, tagged string, has_signature boolean, has_labels boolean, repaired boolean, header_offset long, ids array<string>", rows, list(passwords), True)
+XREF = ("num long, gen long, rev long, kind string, position long", lambda d: ({"num": n, "gen": g, "rev": r, "kind": k, "position": w} for n, g, r, k, w in d.revisions))
 
 
 def xref(files: DataFrame, passwords: list[str] = ()) -> DataFrame:
     """All cross-reference entries with their revision, 0 the newest; see ``relational.newest_wins``."""
-    return _table(files, "num long, gen long, rev long, kind string, position long", lambda d: ({"num": n, "gen": g, "rev": r, "kind": k, "position": w} for n, g, r, k, w in d.revisions), list(passwords))
+    return _table(files, *XREF, list(passwords))
 
 
-def objects(files: DataFrame, passwords: list[str] = (), streams: bool = False) -> DataFrame:
-    """Every object: num, kind, value in PDF syntax, top-level entries of a dictionary, filters, and with ``streams`` the decoded bytes."""
+def object_part(streams: bool = False, nums: list[int] | None = None) -> tuple[str, Callable]:
+    """The part of ``objects`` for ``together``."""
 
     def rows(d: Document):
-        for num in sorted(d.xref):
+        for num in sorted(d.xref) if nums is None else [n for n in sorted(nums) if n in d.xref]:
             v = d.object(num)
             if v is None:
                 continue
@@ -94,11 +168,16 @@ def objects(files: DataFrame, passwords: list[str] = (), streams: bool = False)
                     data = None
             yield {"num": num, "kind": type(v).__name__, "value": show(v), "entries": [(k, show(x)) for k, x in info.items()], "filters": d.filters(v)[0] if isinstance(v, Stream) else [], "length": len(v.raw) if isinstance(v, Stream) else None, "data": data}
 
-    return _table(files, "num long, kind string, value string, entries map<string,string>, filters array<string>, length long, data binary", rows, list(passwords))
+    return "num long, kind string, value string, entries map<string,string>, filters array<string>, length long, data binary", rows
 
 
-def edges(files: DataFrame, passwords: list[str] = ()) -> DataFrame:
-    """References between objects: from_num, key (top-level entry or position), to_num, to_gen."""
+def objects(files: DataFrame, passwords: list[str] = (), streams: bool = False, nums: list[int] | None = None) -> DataFrame:
+    """Every object, or those of the given numbers: num, kind, value in PDF syntax, top-level entries of a dictionary, filters, and with ``streams`` the decoded bytes."""
+    return _table(files, *object_part(streams, nums), list(passwords))
+
+
+def edge_part(nums: list[int] | None = None) -> tuple[str, Callable]:
+    """The part of ``edges`` for ``together``."""
 
     def rows(d: Document):
         def walk(v, key):
@@ -109,11 +188,16 @@ def edges(files: DataFrame, passwords: list[str] = ()) -> DataFrame:
                 for k, x in inner.items() if isinstance(inner, dict) else enumerate(inner):
                     yield from walk(x, f"{key}/{k}" if key else str(k))
 
-        for num in sorted(d.xref):
+        for num in sorted(d.xref) if nums is None else [n for n in sorted(nums) if n in d.xref]:
             for key, r in walk(d.object(num), ""):
                 yield {"from_num": num, "key": key, "to_num": r.num, "to_gen": r.gen}
 
-    return _table(files, "from_num long, key string, to_num long, to_gen long", rows, list(passwords))
+    return "from_num long, key string, to_num long, to_gen long", rows
+
+
+def edges(files: DataFrame, passwords: list[str] = (), nums: list[int] | None = None) -> DataFrame:
+    """References between objects, all or those from the given numbers: from_num, key (top-level entry or position), to_num, to_gen."""
+    return _table(files, *edge_part(nums), list(passwords))
 
 
 def catalog(files: DataFrame, passwords: list[str] = ()) -> DataFrame:
@@ -144,28 +228,36 @@ def _box(d: Document, p: dict, key: str):
     return [float(d.get(x)) for x in v] if isinstance(v, list) and len(v) == 4 else None
 
 
-def pages(files: DataFrame, passwords: list[str] = ()) -> DataFrame:
-    """page_no, num, label, media_box, crop_box (the media box by default), rotate, is_empty, content_bytes."""
+def _page_rows(d: Document) -> Iterator[dict]:
+    every = d.pages()
+    labels = d.labels(len(every))
+    for i, p in enumerate(every):
+        media, n = _box(d, p, "MediaBox"), len(d.contents(p))
+        yield {"page_no": i + 1, "num": p["num"], "label": labels[i], "media_box": media, "crop_box": _box(d, p, "CropBox") or media, "rotate": int(d.inherited(p, "Rotate") or 0), "is_empty": p["page"].get("Contents") is None, "content_bytes": n}
 
-    def rows(d: Document):
-        every = d.pages()
-        labels = d.labels(len(every))
-        for i, p in enumerate(every):
-            media, n = _box(d, p, "MediaBox"), len(d.contents(p))
-            yield {"page_no": i + 1, "num": p["num"], "label": labels[i], "media_box": media, "crop_box": _box(d, p, "CropBox") or media, "rotate": int(d.inherited(p, "Rotate") or 0), "is_empty": p["page"].get("Contents") is None, "content_bytes": n}
 
-    return _table(files, "page_no int, num long, label string, media_box array<float>, crop_box array<float>, rotate int, is_empty boolean, content_bytes long", rows, list(passwords))
+PAGES = ("page_no int, num long, label string, media_box array<float>, crop_box array<float>, rotate int, is_empty boolean, content_bytes long", _page_rows)
 
 
-def page_text(files: DataFrame, passwords: list[str] = (), metrics: dict[str, dict] | None = None, handlers: dict[str, Callable] | None = None, encodings: dict[str, Callable] | None = None) -> DataFrame:
-    """page_no and text of every page; a bad file gives one row with ``error``. ``handlers`` and ``encodings`` are for ``Evaluator``."""
+def pages(files: DataFrame, passwords: list[str] = ()) -> DataFrame:
+    """page_no, num, label, media_box, crop_box (the media box by default), rotate, is_empty, content_bytes."""
+    return _table(files, *PAGES, list(passwords))
+
+
+def text_part(metrics: dict[str, dict] | None = None, handlers: dict[str, Callable] | None = None, encodings: dict[str, Callable] | None = None) -> tuple[str, Callable]:
+    """The part of ``page_text`` for ``together``."""
 
     def rows(d: Document):
         for i, p in enumerate(d.pages(), 1):
             e = Evaluator(d, p, metrics, handlers, encodings)
             yield {"page_no": i, "text": paint(e.run(), e.profile)}
 
-    return _table(files, "page_no int, text string", rows, list(passwords), True)
+    return "page_no int, text string", rows
+
+
+def page_text(files: DataFrame, passwords: list[str] = (), metrics: dict[str, dict] | None = None, handlers: dict[str, Callable] | None = None, encodings: dict[str, Callable] | None = None) -> DataFrame:
+    """page_no and text of every page; a bad file gives one row with ``error``. ``handlers`` and ``encodings`` are for ``Evaluator``."""
+    return _table(files, *text_part(metrics, handlers, encodings), list(passwords), True)
 
 
 CORNERS = "lbx lby rbx rby rtx rty ltx lty".split()
@@ -177,7 +269,8 @@ def text_runs(files: DataFrame, passwords: list[str] = (), metrics: dict[str, di
     def rows(d: Document):
         for i, p in enumerate(d.pages(), 1):
             for r in Evaluator(d, p, metrics, handlers, encodings).run():
-                yield {"page_no": i, **{k: r[k] for k in ("seq", "text", "fontname", "fontflags", "size", *CORNERS)}}
+                r["page_no"] = i
+                yield r
 
     return _table(files, "page_no int, seq int, text string, fontname string, fontflags long, size float, " + ", ".join(f"{c} float" for c in CORNERS), rows, list(passwords))
 
@@ -212,17 +305,20 @@ def fonts(files: DataFrame, passwords: list[str] = (), metrics: dict[str, dict]
     return _table(files, "page_no int, resource string, name string, subtype string, flags long, is_bold boolean, is_italic boolean, is_fixed boolean, is_all_cap boolean, is_small_cap boolean, widths map<int,float>, missing_width float", rows, list(passwords))
 
 
-def info(files: DataFrame, passwords: list[str] = ()) -> DataFrame:
-    """key, text, local, tz_minutes of the information dictionary; entries whose value cannot be read are left out."""
+def _info_rows(d: Document) -> Iterator[dict]:
+    for k, v in d.info().items():
+        if isinstance(v, bytes):
+            yield {"key": k, "text": text_string(v)}
+        elif v is not None and not isinstance(v, (dict, list, Stream)):
+            yield {"key": k, "text": str(v)}
 
-    def rows(d: Document):
-        for k, v in d.info().items():
-            if isinstance(v, bytes):
-                yield {"key": k, "text": text_string(v)}
-            elif v is not None and not isinstance(v, (dict, list, Stream)):
-                yield {"key": k, "text": str(v)}
 
-    out = _table(files, "key string, text string", rows, list(passwords))
+INFO = ("key string, text string", _info_rows)
+
+
+def info(files: DataFrame, passwords: list[str] = ()) -> DataFrame:
+    """key, text, local, tz_minutes of the information dictionary; entries whose value cannot be read are left out."""
+    out = _table(files, *INFO, list(passwords))
     local, ahead = date_columns(F.col("text"))
     dated = F.col("key").isin("CreationDate", "ModDate")
     return out.withColumn("local", F.when(dated, local)).withColumn("tz_minutes", F.when(dated, ahead)).where(~dated | F.col("local").isNotNull())
